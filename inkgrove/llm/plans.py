@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkgrove.llm import leaks, split
+from inkgrove.llm import languages, leaks, neighbours, split
 from inkgrove.sources.tables import table
 
 CHUNK_LIMIT, CHUNK_OVERLAP = 1500, 150
@@ -26,6 +26,29 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_spans(spark, d).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_split": p1_split, "p7_found": p7_found, "p7_spans": p7_spans}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, d, "vec_chunks"))
+
+
+def p5_knn(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, d, "vec_chunks"))
+
+
+def p5_recall(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.recall(table(spark, d, "vec_chunks"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.mislabelled(table(spark, d, "documents"))
+
+
+def p8_labels(spark: SparkSession, d: str) -> DataFrame:
+    return languages.label_languages(table(spark, d, "documents"))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_split": p1_split, "p5_found": p5_found, "p5_knn": p5_knn, "p5_recall": p5_recall,
+    "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_labels": p8_labels,
+}
 
 SQL = {"p1_found": "SELECT id FROM chunks WHERE length(chunk_text) > 1500"}
