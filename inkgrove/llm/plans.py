@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkgrove.llm import languages, leaks, neighbours, split
+from inkgrove.llm import languages, leaks, neighbours, packing, split
 from inkgrove.sources.tables import table
 
 CHUNK_LIMIT, CHUNK_OVERLAP = 1500, 150
@@ -18,6 +18,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_split(spark, d).where("piece_no = 0").select("id")
 
 
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p6_pack(spark, d))
+
+
+def p6_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return packing.mixture_report(p6_pack(spark, d))
+
+
 def p7_spans(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -48,6 +60,7 @@ def p8_labels(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_split": p1_split, "p5_found": p5_found, "p5_knn": p5_knn, "p5_recall": p5_recall,
+    "p6_pack": p6_pack, "p6_fill": p6_fill, "p6_mixture": p6_mixture,
     "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_labels": p8_labels,
 }
 
