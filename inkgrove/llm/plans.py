@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkgrove.llm import languages, leaks, neighbours, packing, split
+from inkgrove.llm import languages, leaks, markup, neighbours, packing, split
 from inkgrove.sources.tables import table
 
 CHUNK_LIMIT, CHUNK_OVERLAP = 1500, 150
@@ -38,6 +38,22 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_spans(spark, d).select("doc_id", "item_id")
 
 
+def _p4(spark: SparkSession, d: str) -> DataFrame:
+    return markup.text_columns(table(spark, d, "chunks"), table(spark, d, "notes"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.residue_rows(_p4(spark, d)).select("src_table", "row_id")
+
+
+def p4_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return markup.label_blocks(_p4(spark, d))
+
+
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_rows(_p4(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, d, "vec_chunks"))
 
@@ -60,6 +76,7 @@ def p8_labels(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_split": p1_split, "p5_found": p5_found, "p5_knn": p5_knn, "p5_recall": p5_recall,
+    "p4_found": p4_found, "p4_blocks": p4_blocks, "p4_clean": p4_clean,
     "p6_pack": p6_pack, "p6_fill": p6_fill, "p6_mixture": p6_mixture,
     "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_labels": p8_labels,
 }
