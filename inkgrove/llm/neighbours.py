@@ -28,7 +28,7 @@ from inkgrove.runtime import written
 
 #: Vectors the trees are fitted on. With 16 of them a leaf, one tree has at most SAMPLE / 16 leaves.
 SAMPLE = 32_768
-TREES, LEAF, PROBES = 4, 512, 10
+TREES, LEAF, PROBES = 6, 512, 16
 LEAF_BLOCK, VISIT_BLOCK = 4096, 16_384
 
 
