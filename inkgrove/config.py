@@ -7,10 +7,7 @@ import json
 from dataclasses import dataclass
 
 # The status vocabulary, in natural order.
-STATUS_VALUES = (
-    "active", "approved", "archived", "blocked", "done", "draft", "falsified",
-    "idea", "paused", "rejected", "superseded", "verified", "wip",
-)
+STATUS_VALUES = ("draft", "active", "blocked", "approved", "verified", "completed", "falsified", "superseded", "archived")
 
 
 @dataclass(frozen=True)

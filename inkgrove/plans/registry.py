@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from inkgrove.plans import records
+from inkgrove.plans import records, retrieval
 
-MODULES = (records,)
-FLAGSHIP = "p2_found"
+MODULES = (retrieval, records)
+FLAGSHIP = "keyword_topk"
 
 
 def queries() -> dict:
