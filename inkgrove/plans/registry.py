@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from inkgrove.plans import records, retrieval
+from inkgrove.plans import graph, maintenance, markdown, records, retrieval
 
-MODULES = (retrieval, records)
+MODULES = (retrieval, graph, markdown, maintenance, records)
 FLAGSHIP = "keyword_topk"
 
 
