@@ -45,7 +45,7 @@ def strip(col: Column) -> Column:
 
 def split_lines(col: Column) -> Column:
     """Lines as an editor counts them: every Unicode line break separates, a final break opens no further line; '' has none."""
-    brk = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
+    brk = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
     return F.when(col == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(col, rf"(?:{brk})\z", ""), brk, -1))
 
 

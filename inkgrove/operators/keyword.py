@@ -33,40 +33,55 @@ def query_phrases(queries: DataFrame, query_id: str = "query_id", query: str = "
     return phrase.groupBy("query_id", "phrase").agg(F.count("*").alias("times"))
 
 
-def _postings(tokenised: DataFrame, fields: tuple[str, ...], weights: tuple[float, ...], wanted: DataFrame) -> DataFrame:
-    """``(id, weight, pos, term, field)`` of the tokens that occur in ``wanted``."""
-    parts = [tokenised.select("id", F.lit(w).alias("weight"), F.lit(k).alias("field"), F.posexplode(f).alias("pos", "term")) for k, (f, w) in enumerate(zip(fields, weights, strict=True))]
-    return reduce(DataFrame.unionByName, parts).join(wanted, "term", "left_semi")
+def postings(tokenised: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """``(term, id, field, pos)``: the inverted index, ``field`` being the place in ``fields``."""
+    parts = [tokenised.select("id", F.lit(k).alias("field"), F.posexplode(f).alias("pos", "term")) for k, f in enumerate(fields)]
+    return reduce(DataFrame.unionByName, parts).select("term", "id", "field", "pos")
+
+
+def sizes(tokenised: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """``(id, d)``: tokens of each row over all fields."""
+    return tokenised.select("id", reduce(lambda a, b: a + b, [F.size(f) for f in fields]).cast("double").alias("d"))
 
 
 def phrase_frequencies(tokenised: DataFrame, phrases: DataFrame, fields: tuple[str, ...] = FIELDS, weights: tuple[float, ...] = EngineConfig.weights) -> DataFrame:
     """``(phrase, id, f)``: weighted frequency of each distinct phrase in each row that holds it."""
+    return frequencies(postings(tokenised, fields), phrases, weights)
+
+
+def frequencies(index: DataFrame, phrases: DataFrame, weights: tuple[float, ...] = EngineConfig.weights) -> DataFrame:
+    """``phrase_frequencies`` from an inverted index. Terms no phrase asks for are dropped before anything is shuffled."""
     distinct = phrases.select("phrase").distinct()
-    postings = _postings(tokenised, fields, weights, distinct.select(F.explode("phrase").alias("term")).distinct())
+    wanted = distinct.select(F.explode("phrase").alias("term")).distinct()
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("field") + 1)
+    mine = index.join(wanted, "term", "left_semi").withColumn("weight", weight)
     single = distinct.where(F.size("phrase") == 1).select("phrase", F.col("phrase")[0].alias("term"))
-    hits = postings.join(single, "term").groupBy("phrase", "id").agg(F.sum("weight").alias("f"))
+    hits = mine.join(single, "term").groupBy("phrase", "id").agg(F.sum("weight").alias("f"))
     places = distinct.where(F.size("phrase") > 1).select("phrase", F.size("phrase").alias("size"), F.posexplode("phrase").alias("k", "term"))
-    runs = postings.join(places, "term").groupBy("phrase", "size", "id", "field", "weight", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("got")).where("got = size")
+    runs = mine.join(places, "term").groupBy("phrase", "size", "id", "field", "weight", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("got")).where("got = size")
     return hits.unionByName(runs.groupBy("phrase", "id").agg(F.sum("weight").alias("f")))
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, fields: tuple[str, ...] = FIELDS, weights: tuple[float, ...] = EngineConfig.weights, corpus: DataFrame | None = None) -> DataFrame:
-    """``(query_id, id, score)``, higher is better. ``corpus`` (default: ``chunks``) gives N, n and avgdl; ``chunks`` the candidates."""
-    base = field_tokens(corpus if corpus is not None else chunks, fields)
-    phrases = query_phrases(queries)
-    sizes = base.select("id", reduce(lambda a, b: a + b, [F.size(f) for f in fields]).cast("double").alias("d"))
-    stats = sizes.agg(F.count("*").alias("n_rows"), F.avg("d").alias("avgdl"))
-    freq = phrase_frequencies(base, phrases, fields, weights)
+def score(freq: DataFrame, row_sizes: DataFrame, phrases: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """``(query_id, id, score)``, higher is better. Statistics are those of ``row_sizes`` and ``freq``; ``candidates`` (id) limits who is ranked."""
+    stats = row_sizes.agg(F.count("*").alias("n_rows"), F.avg("d").alias("avgdl"))
     df = freq.groupBy("phrase").agg(F.count("*").alias("n"))
     raw = F.log((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = df.join(F.broadcast(stats)).select("phrase", "avgdl", F.when(raw > 0, raw).otherwise(F.lit(1e-6)).alias("idf"))  # stats is one row
     part = F.col("idf") * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("d") / F.col("avgdl")))
-    scored = freq.join(idf, "phrase").join(sizes, "id").select("phrase", "id", part.alias("part"))
-    if corpus is not None:
-        scored = scored.join(chunks.select("id"), "id", "left_semi")
+    scored = freq.join(idf, "phrase").join(row_sizes, "id").select("phrase", "id", part.alias("part"))
+    if candidates is not None:
+        scored = scored.join(candidates.select("id"), "id", "left_semi")
     return scored.join(phrases, "phrase").groupBy("query_id", "id").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
 
 
+def bm25_scores(chunks: DataFrame, queries: DataFrame, fields: tuple[str, ...] = FIELDS, weights: tuple[float, ...] = EngineConfig.weights, corpus: DataFrame | None = None) -> DataFrame:
+    """``(query_id, id, score)``. ``corpus`` (default: ``chunks``) gives N, n and avgdl; ``chunks`` the candidates."""
+    base = field_tokens(corpus if corpus is not None else chunks, fields)
+    phrases = query_phrases(queries)
+    return score(phrase_frequencies(base, phrases, fields, weights), sizes(base, fields), phrases, chunks if corpus is not None else None)
+
+
 def top_per_query(scores: DataFrame, n: int, score: str = "score", ascending: bool = False, digits: int = 9) -> DataFrame:
     """Adds ``rank`` from 1 and keeps the best ``n`` of each query; equal scores (to ``digits`` digits) by id."""
     rounded = F.round(score, digits)
