@@ -76,7 +76,7 @@ def blocks(text: str) -> list[tuple[int, int, bool, str]]:
     """``(first line, last line, is it a list, content)`` of each paragraph and list; frontmatter, code, headings, formulas and tables are left out. Lines count from 1."""
     lines = text.splitlines()
     n, i, out = len(lines), 0, []
-    if lines and lines[0].lstrip("﻿").rstrip() == "---":
+    if lines and lines[0].lstrip("\ufeff").rstrip() == "---":
         for k in range(1, n):
             if lines[k].rstrip() in ("---", "..."):
                 i = k + 1

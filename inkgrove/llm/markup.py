@@ -24,7 +24,7 @@ MARKDOWN_AT = KINDS.index("markdown")
 
 _ATTR = re.compile(r"\b(?:alt|title)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BLOCK_BREAKS = frozenset("p div tr table ul ol details summary blockquote section article header footer figure body html dl dd dt center br hr pre".split())
-_LATEX_MARKS = {'"': "̈", "'": "́", "`": "̀", "^": "̂", "~": "̃", "=": "̄", ".": "̇", "u": "̆", "v": "̌", "H": "̋", "c": "̧", "d": "̣", "b": "̱", "r": "̊", "k": "̨", "t": "͡"}
+_LATEX_MARKS = {'"': "\u0308", "'": "\u0301", "`": "\u0300", "^": "\u0302", "~": "\u0303", "=": "\u0304", ".": "\u0307", "u": "\u0306", "v": "\u030c", "H": "\u030b", "c": "\u0327", "d": "\u0323", "b": "\u0331", "r": "\u030a", "k": "\u0328", "t": "\u0361"}
 _SECTION_LEVEL = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4, "subparagraph": 5}
 _SILENT = frozenset("cite citep citet ref eqref pageref label index bibliography bibliographystyle usepackage documentclass hspace vspace input include begin end".split())
 _BARE_COMMAND = re.compile(r"\{\\(?:small|tiny|large|Large|huge|bf|it|em|sc|tt|rm|sf|normalsize|footnotesize)\b\s*")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 INSIDE, WORD, SENTENCE, LINE, PARAGRAPH, SECTION = range(6)
 BOUNDARY_NAMES = ("inside", "word", "sentence", "line", "paragraph", "section")
 
-_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _LINES = re.compile(_BREAK)
 # A word with its indentation, and the blanks after it up to and including the last line break.
 _ATOM = re.compile(r"\s*\S+(?:[^\S\n]*\n(?:\s*\n)?|[^\S\n]+(?=\S|$)|)|\s+\Z")
@@ -38,7 +38,7 @@ def _atoms(text: str, most: int) -> list[tuple[int, int]]:
         a, b = at, m.end()
         while b - a > most:
             cut = a + most
-            while cut > a + 1 and (unicodedata.combining(text[cut]) or text[cut] in "‍️" or text[cut - 1] == "‍"):
+            while cut > a + 1 and (unicodedata.combining(text[cut]) or text[cut] in "\u200d\ufe0f" or text[cut - 1] == "\u200d"):
                 cut -= 1
             if cut <= a + 1:
                 cut = a + most
