@@ -137,7 +137,7 @@ def train(texts: list[str], epochs: int = EPOCHS, seed: int = 1, say=lambda *_:
             loss, grads = _loss_and_grads(model, [g[0] for g in group], np.concatenate([g[1] for g in group]), np.concatenate([g[2] for g in group]))
             total += loss
             step += 1
-            rate = RATE * (0.5 ** (epoch / 2)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            rate = RATE * 0.1 ** (epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             norm = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
             for k, g in grads.items():
                 g = g * min(1.0, 2.0 / (norm + 1e-9))

@@ -350,7 +350,7 @@ def label_languages(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     """One row per document: its label and the language that names, its own language with a confidence, the languages in
     which it has a whole paragraph or list, whether the label or a foreign part makes it a case, and its spans.
 
-    Null, empty and sentence-free texts get null languages, no spans, and are no cases. Repeated rows are labelled alike.
+    Null, empty and sentence-free texts get null languages, no spans, and are no cases. Rows without an id are left out. Repeated rows are labelled alike.
     Ties go to the language first in ``LANGS``. Words of further scripts count as ``und``. Further columns are ignored.
     """
     spark = documents.sparkSession
@@ -365,7 +365,8 @@ def label_languages(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
             yield pd.DataFrame([_describe(d, g, m, *x) for d, g, x in zip(batch["doc_id"], batch["lang"], done, strict=True)], columns=["doc_id", "label", "label_code", "lang_code", "confidence", "langs", "is_case", "segments"])
             m.trim()
 
-    return documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).mapInPandas(label, LABELS)
+    named = documents.where(F.col(doc_id).isNotNull())
+    return named.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).mapInPandas(label, LABELS)
 
 
 def mislabelled(documents: DataFrame, **columns) -> DataFrame:

@@ -148,10 +148,10 @@ def leaked_spans(documents: DataFrame, items: DataFrame, run: int = RUN, doc_id:
 
     ``shingles`` of the item's ``of_shingles`` stand in the document, the longest unbroken stretch has ``longest_run``
     words, the first begins at word ``first_word`` (from 0). Null and empty texts and passages, and those under ``run``
-    words, match nothing; repeated documents and items are each reported; further columns are ignored.
+    words, match nothing, nor do rows without an id; repeated documents and items are each reported; further columns are ignored.
     """
     spark = documents.sparkSession
-    docs = documents.where(F.length(text) >= 2 * run - 1).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    docs = documents.where((F.length(text) >= 2 * run - 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     found = []
     for block in _item_blocks(items, item_id, passage, block_chars):
         block = [(i, w) for i, w in block if len(w) >= run]

@@ -79,10 +79,12 @@ def _latex(text: str) -> str:
 
 def _tag(m: re.Match) -> str:
     name, closing = (m["el"] or "").lower(), m.group().startswith("</")
+    before = m.string[max(0, m.start() - 80) : m.start()].rstrip(" \t")[-1:]
+    opens = "" if before in ("", "\n") else "\n"
     if len(name) == 2 and name[0] == "h" and name[1].isdigit():
-        return "\n" if closing else f"\n{'#' * int(name[1])} "
+        return ("" if m.string[m.end() : m.end() + 1] in ("", "\n", "\r") else "\n") if closing else f"{opens}{'#' * int(name[1])} "
     if name == "li":
-        return "" if closing else "\n- "
+        return "" if closing else f"{opens}- "
     if name in ("td", "th"):
         return "" if closing else "| "
     if name == "tr":
@@ -173,9 +175,10 @@ def clean(text: str | None, markdown: bool = False) -> str | None:
 
 
 def text_columns(chunks: DataFrame, notes: DataFrame) -> DataFrame:
+    """``(src_table, row_id, text)`` of both columns; rows without an id are left out, other columns ignored."""
     return chunks.select(F.lit("chunks").alias("src_table"), F.col("id").cast("bigint").alias("row_id"), F.col("chunk_text").alias("text")).unionByName(
-        notes.select(F.lit("notes"), F.col("id").cast("bigint").alias("row_id"), F.col("summary").alias("text")).toDF("src_table", "row_id", "text")
-    )
+        notes.select(F.lit("notes").alias("src_table"), F.col("id").cast("bigint").alias("row_id"), F.col("summary").alias("text"))
+    ).where("row_id is not null")
 
 
 def _flags(score: np.ndarray, model: Labeller, markdown: bool) -> np.ndarray:

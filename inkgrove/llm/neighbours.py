@@ -4,7 +4,7 @@ Each tree splits by hyperplanes between two centres, at the median of a sample.
 one shared priority queue, whose keys are the smallest margin on the way to a node (positive only on the query's own
 side). The queue is kept level by level: a node's key never exceeds its parent's, and every node has a leaf with the
 node's own key or (on the query's side) a positive one, so keeping the ``probes`` best nodes of all trees at each level
-ends with exactly the ``probes`` leaves that a heap would pop first. Candidates are then reranked by exact cosine in
+ends with the keys of the ``probes`` leaves that a heap would pop first. Candidates are then reranked by exact cosine in
 double precision, leaf by leaf.
 
 Work at scale: hyperplanes are fitted on a bounded sample (``SAMPLE``) and broadcast (``trees * leaves * dim`` floats);
@@ -281,10 +281,10 @@ def brute_force(df: DataFrame, queries: DataFrame, k: int = 5, dim: int = 64, bl
     return _nearest(out, k)
 
 
-def recall(df: DataFrame, k: int = 5, every: int = 100, **options) -> DataFrame:
+def recall(df: DataFrame, k: int = 5, every: int = 100, dim: int = 64, **options) -> DataFrame:
     """One row ``(queries, found, wanted, recall)``: neighbours against brute force for ids divisible by ``every``; a neighbour counts if it is as similar as the k-th true one."""
     asked = df.where(F.col("id") % every == 0)
-    truth = brute_force(df, asked, k).select("id", F.element_at("near", -1)["cosine"].alias("least"), F.size("near").alias("want"))
-    got = nearest_neighbours(df, k, **options).where(F.col("id") % every == 0).join(truth, "id", "right")
+    truth = brute_force(df, asked, k, dim).select("id", F.element_at("near", -1)["cosine"].alias("least"), F.size("near").alias("want"))
+    got = nearest_neighbours(df, k, dim, **options).where(F.col("id") % every == 0).join(truth, "id", "right")
     per = got.groupBy("id", "want").agg(F.sum(F.when(F.col("cosine") >= F.col("least") - 1e-6, 1).otherwise(0)).alias("hit"))
     return per.agg(F.count("*").alias("queries"), F.sum(F.least("hit", "want")).alias("found"), F.sum("want").alias("wanted")).withColumn("recall", F.round(F.col("found") / F.col("wanted"), 4))

@@ -108,13 +108,14 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, shares: dict[str, float
     in ``shares`` come last. ``tokens`` replaces the token count by the default tokenizer. Texts longer than the capacity
     are cut into full sequences and a rest, which is packed like a text. Null and empty texts have no tokens and stand,
     with 0, at the head of their shard's first sequence. A null source is a source of its own. Repeated rows are packed
-    each. Further columns are ignored. Ties go to the source first in order of name, then to the greater id.
+    each, texts without an id too. Further columns are ignored. Ties go to the source first in order of name, then to
+    the later text in order of a hash, so a result repeats whatever the partitions.
     """
     count = token_count(F.col(text)) if tokens is None else tokens
-    sized = written(documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)).alias("source"), F.coalesce(count, F.lit(0)).cast("bigint").alias("n")), "sized")
+    sized = written(documents.select(F.col(doc_id).cast("string").alias("doc_id"), F.xxhash64(doc_id, text).alias("mix"), F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)).alias("source"), F.coalesce(count, F.lit(0)).cast("bigint").alias("n")), "sized")
     total = sized.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("texts")).first()
     shards = max(1, -(-total.tokens // shard_tokens), -(-total.texts // SHARD_TEXTS))
-    items = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    items = sized.withColumn("shard", F.pmod("mix", F.lit(shards)))
 
     per = items.groupBy("shard", "source").agg(F.sum("n").alias("own"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -133,7 +134,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, shares: dict[str, float
         number = {s: k for k, s in enumerate(start["name"])}
         share, credit = start["share"].to_numpy(float), start["credit"].to_numpy(float).copy()
         names = start["name"].tolist()
-        texts = texts.sort_values("doc_id", kind="stable")
+        texts = texts.sort_values(["mix", "doc_id"], kind="stable")
         queue, empty = [], []
         for d, s, n in zip(texts["doc_id"].tolist(), texts["source"].map(number).tolist(), texts["n"].tolist(), strict=True):
             parts, rest = divmod(n, capacity)
@@ -148,7 +149,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, shares: dict[str, float
         rows = [((int(key[0]) << 32) + w, at, d, p, names[s], size) for w, window in enumerate(windows) for at, (s, size, (d, p)) in enumerate(window)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in PACKED.split(", ")])
 
-    return items.groupBy("shard").cogroup(carry.groupBy("of_shard")).applyInPandas(run, PACKED)
+    return items.groupBy("shard").cogroup(carry.groupBy("of_shard")).applyInPandas(run, PACKED.replace("doc_id bigint", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -133,12 +133,12 @@ def split_oversized(df: DataFrame, limit: int = 1500, overlap: int = 0, id_col:
     """Pieces of every row whose text is longer than ``limit`` characters (code points); other rows give none.
 
     Filter and projection run in the JVM before any Python: only the oversized texts are sent, with id and first line.
-    Null and short texts give no rows, equal texts under different ids are split alike, a null first line counts as 1,
+    Null and short texts give no rows, nor do rows without an id, equal texts under different ids are split alike, a null first line counts as 1,
     further columns are ignored. Spans of blanks between pieces give no piece of their own; a text of nothing but blanks
     is cut at the limit.
     """
     line = F.coalesce(F.col(line_col), F.lit(1)).cast("int") if line_col else F.lit(1)
-    big = df.where(F.length(text_col) > limit).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), line.alias("line"))
+    big = df.where((F.length(text_col) > limit) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), line.alias("line"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
