@@ -1,8 +1,9 @@
 """Trains the block labeller: ``python -m inkgrove.llm.blocks_train FOLDER [OUT]``.
 
 Targets come from the exact grammar (``residue``) on a bounded sample of rows (``SAMPLE_ROWS`` per column, the first in
-order of a hash of the id), plus Markdown targets for every row, so one network serves both columns. Gradients are
-written out by hand; the optimiser is Adam. A fifth of the sample is held out, and thresholds are set on it.
+order of a hash of the id), each also twice with invented constructs put in. Every row has Markdown targets too, so one
+network serves both columns. Gradients are written out by hand; the optimiser is Adam. A fifth of the
+sample is held out, and thresholds are set on it.
 """
 
 from __future__ import annotations
@@ -13,9 +14,10 @@ from zlib import crc32
 import numpy as np
 
 from inkgrove.llm import blocks as B
+from inkgrove.llm.block_variants import varied
 from inkgrove.llm.residue import MD_LIST, WIKI_HEADING, quiet_spans, residue
 
-SAMPLE_ROWS, HIDDEN, EPOCHS, BATCH, RATE = 12_000, 16, 6, 64, 0.01
+SAMPLE_ROWS, HIDDEN, EPOCHS, BATCH, RATE = 12_000, 24, 10, 64, 0.01
 
 
 def targets(text: str, doc: list[B.Leaf]) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +152,7 @@ def train(texts: list[str], epochs: int = EPOCHS, seed: int = 1, say=lambda *_:
     q = s[:, len(B.LABELS) :]
     for k in range(len(B.KINDS)):
         mine = q[kinds[:, k] > 0, k]
-        model.thresholds[k] = min(0.02, 0.1 * mine.min()) if len(mine) else 0.02
+        model.thresholds[k] = np.clip(0.3 * np.quantile(mine, 0.001), 0.001, 0.02) if len(mine) else 0.02
     flagged = q >= model.thresholds
     return model, {
         "leaves": len(label), "label_accuracy": float((s[:, : len(B.LABELS)].argmax(axis=1) == label).mean()),
@@ -168,6 +170,8 @@ def main(folder: str, out: str = B.WEIGHTS) -> None:
         rows = sorted(zip(t.column("id").to_pylist(), t.column(column).to_pylist(), strict=True), key=lambda r: crc32(str(r[0]).encode()))
         texts += [x for _, x in rows[:SAMPLE_ROWS] if x]
     texts.sort(key=lambda x: crc32(x.encode()))
+    rng = np.random.default_rng(3)
+    texts = [y for x in texts for y in (x, varied(x, rng), varied(x, rng))]
     model, report = train(texts, say=lambda *a: print(*a, flush=True))
     print(report)
     model.save(out)
