@@ -12,18 +12,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrove.config import EngineConfig
 from inkgrove.functions.text import fold, query_terms, tokens
+from inkgrove.runtime import spread, written
 
 FIELDS = ("title", "heading", "summary", "chunk_text")
 
 
 def field_tokens(chunks: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """``(id, one token array per field)``."""
-    return chunks.select("id", *[tokens(fold(F.coalesce(F.col(f), F.lit("")))).alias(f) for f in fields])
+    return spread(chunks.select("id", *fields)).select("id", *[tokens(fold(F.coalesce(F.col(f), F.lit("")))).alias(f) for f in fields])
 
 
 def query_phrases(queries: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
@@ -35,8 +36,12 @@ def query_phrases(queries: DataFrame, query_id: str = "query_id", query: str = "
 
 def postings(tokenised: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """``(term, id, field, pos)``: the inverted index, ``field`` being the place in ``fields``."""
-    parts = [tokenised.select("id", F.lit(k).alias("field"), F.posexplode(f).alias("pos", "term")) for k, f in enumerate(fields)]
-    return reduce(DataFrame.unionByName, parts).select("term", "id", "field", "pos")
+
+    def placed(k: int, f: str) -> Column:
+        return F.transform(f, lambda t, i: F.struct(t.alias("term"), F.lit(k).alias("field"), i.alias("pos")))
+
+    places = [placed(k, f) for k, f in enumerate(fields)]
+    return tokenised.select("id", F.explode(F.concat(*places)).alias("p")).select("p.term", "id", "p.field", "p.pos")
 
 
 def sizes(tokenised: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -57,6 +62,8 @@ def frequencies(index: DataFrame, phrases: DataFrame, weights: tuple[float, ...]
     mine = index.join(wanted, "term", "left_semi").withColumn("weight", weight)
     single = distinct.where(F.size("phrase") == 1).select("phrase", F.col("phrase")[0].alias("term"))
     hits = mine.join(single, "term").groupBy("phrase", "id").agg(F.sum("weight").alias("f"))
+    if distinct.where(F.size("phrase") > 1).isEmpty():
+        return hits
     places = distinct.where(F.size("phrase") > 1).select("phrase", F.size("phrase").alias("size"), F.posexplode("phrase").alias("k", "term"))
     runs = mine.join(places, "term").groupBy("phrase", "size", "id", "field", "weight", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("got")).where("got = size")
     return hits.unionByName(runs.groupBy("phrase", "id").agg(F.sum("weight").alias("f")))
@@ -78,8 +85,9 @@ def score(freq: DataFrame, row_sizes: DataFrame, phrases: DataFrame, candidates:
 def bm25_scores(chunks: DataFrame, queries: DataFrame, fields: tuple[str, ...] = FIELDS, weights: tuple[float, ...] = EngineConfig.weights, corpus: DataFrame | None = None) -> DataFrame:
     """``(query_id, id, score)``. ``corpus`` (default: ``chunks``) gives N, n and avgdl; ``chunks`` the candidates."""
     base = field_tokens(corpus if corpus is not None else chunks, fields)
-    phrases = query_phrases(queries)
-    return score(phrase_frequencies(base, phrases, fields, weights), sizes(base, fields), phrases, chunks if corpus is not None else None)
+    phrases = written(query_phrases(queries), "phrases")
+    freq = written(phrase_frequencies(base, phrases, fields, weights), "freq")  # else texts are tokenised once per use
+    return score(freq, written(sizes(base, fields), "sizes"), phrases, chunks if corpus is not None else None)
 
 
 def top_per_query(scores: DataFrame, n: int, score: str = "score", ascending: bool = False, digits: int = 9) -> DataFrame:

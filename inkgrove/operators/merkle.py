@@ -59,13 +59,16 @@ def tree_nodes(records: DataFrame, shape: TreeShape) -> DataFrame:
     return reduce(DataFrame.unionByName, out).select("level", "node", "n", "d1", "d2")
 
 
-def descend(current: DataFrame, saved: DataFrame, shape: TreeShape) -> tuple[list[int], int]:
-    """The changed leaves and the number of nodes compared. Both node tables are bounded by ``shape.nodes`` rows."""
+Nodes = dict[tuple[int, int], tuple[int, int, int]]
 
-    def load(df: DataFrame) -> dict[tuple[int, int], tuple]:
-        return {(r.level, r.node): (r.n, r.d1, r.d2) for r in df.collect()}
 
-    cur, old = load(current), load(saved)
+def load_nodes(tree: DataFrame) -> Nodes:
+    """A tree's digests by (level, node): at most ``TreeShape.nodes`` rows, whatever the data's size."""
+    return {(r.level, r.node): (r.n, r.d1, r.d2) for r in tree.collect()}
+
+
+def descend(cur: Nodes, old: Nodes, shape: TreeShape) -> tuple[list[int], int]:
+    """The changed leaves and the number of nodes compared."""
     frontier, compared = [0], 0
     for level in range(shape.levels + 1):
         compared += len(frontier)
@@ -81,6 +84,7 @@ class RecordStore:
 
     def __init__(self, spark: SparkSession, base: str, shape: TreeShape | None = None):
         self.spark, self.base, self.shape = spark, base.rstrip("/"), shape or TreeShape()
+        self._loaded: dict[str, Nodes] = {}
 
     def _fs(self, path: str):
         jvm = self.spark._jvm
@@ -118,9 +122,17 @@ class RecordStore:
     def _stage(self, version: str, records: DataFrame) -> DataFrame:
         """Writes a version's records, sorted by leaf, and its tree, without publishing."""
         with_leaf(records.select("key", "path", "content"), self.shape).repartitionByRange("leaf").sortWithinPartitions("leaf").write.mode("overwrite").parquet(f"{self.base}/{version}/records")
-        tree_nodes(self.records(version), self.shape).coalesce(1).write.mode("overwrite").parquet(f"{self.base}/{version}/tree")
+        nodes = load_nodes(tree_nodes(self.records(version), self.shape))
+        rows = self.spark.createDataFrame([(*k, *v) for k, v in nodes.items()], "level int, node int, n bigint, d1 bigint, d2 bigint")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.base}/{version}/tree")
+        self._loaded[version] = nodes
         return self.records(version)
 
+    def nodes(self, version: str) -> Nodes:
+        if version not in self._loaded:
+            self._loaded[version] = load_nodes(self.tree(version))
+        return self._loaded[version]
+
     def bootstrap(self, version: str, records: DataFrame) -> None:
         """Publishes what is there before the first run, with an empty output."""
         self._stage(version, records).select("key", "path", "content").limit(0).write.mode("overwrite").parquet(f"{self.base}/{version}/output")
@@ -139,7 +151,7 @@ class RecordStore:
         blank = seen.where("content is null").select("key", "path")
         filled = blank.join(known.select("key", "content"), "key").select("key", "path", "content")
         effective = self._stage(version, seen.where("content is not null").select("key", "path", "content").unionByName(filled))
-        leaves, compared = descend(self.tree(version), self.tree(last), self.shape)
+        leaves, compared = descend(self.nodes(version), self.nodes(last), self.shape)
         inside = F.col("leaf").isin(leaves) if leaves else F.lit(False)
         old = known.where(inside).select("key", F.col("content").alias("old"), F.lit(True).alias("was"))
         new = effective.where(inside).join(old, "key", "left").where(F.col("was").isNull() | ~F.col("content").eqNullSafe(F.col("old")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from inkgrove.config import EngineConfig
 from inkgrove.functions.chunker import chunk_note, paragraphs
 from inkgrove.functions.markdown import Outline
+from inkgrove.runtime import spread
 
 FACTS = "key string, title string, summary string, tags array<string>, status string, front_lines int, lines int, index_flag string, targets array<string>, headings array<string>"
 CHUNKS = "key string, ordinal int, title string, heading string, summary string, chunk_text string, line_start int, line_end int"
@@ -25,7 +26,7 @@ def stem(path: Column) -> Column:
 
 
 def _keyed(df: DataFrame, key: str, text: str, extra: dict[str, Column] | None = None) -> DataFrame:
-    return df.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), *[c.alias(n) for n, c in (extra or {}).items()])
+    return spread(df.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), *[c.alias(n) for n, c in (extra or {}).items()]))
 
 
 def _rows(df: DataFrame, schema: str, each) -> DataFrame:

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrove.operators.keyword import top_per_query
+from inkgrove.runtime import spread
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -65,11 +66,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def bag_of_words(df: DataFrame, text: str, key: str, dim: int = 1024) -> DataFrame:
     """``(key, bucket, value)``: a sparse unit vector per text. The bucket of a lower-cased word is its md5 modulo ``dim`` (a power of two up to 4096)."""
-    words = df.select(F.col(key).alias("key"), F.explode(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "")).alias("word"))
+    words = spread(df.select(key, text)).select(F.col(key).alias("key"), F.explode(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "")).alias("word"))
     bucket = (F.conv(F.right(F.md5("word"), F.lit(3)), 16, 10).cast("int") % dim).alias("bucket")
     counts = words.groupBy("key", bucket).agg(F.count("*").alias("n"))
-    norms = counts.groupBy("key").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return counts.join(norms, "key").select("key", "bucket", (F.col("n") / F.col("norm")).alias("value"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("key")))  # a text has at most dim buckets
+    return counts.select("key", "bucket", (F.col("n") / norm).alias("value"))
 
 
 def sparse_search(rows: DataFrame, queries: DataFrame, n: int) -> DataFrame:

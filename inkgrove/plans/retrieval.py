@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkgrove.functions.text import STOPWORDS, csv_values, cut, query_terms
 from inkgrove.operators import evaluate, filters, hybrid, keyword, vectors
 from inkgrove.plans.common import CH, CUR, chunks_now, golden, notes_now
+from inkgrove.runtime import written
 from inkgrove.sources.tables import table
 
 LIMIT, POOL = 5, 20
@@ -105,9 +106,8 @@ def filtered_search(spark: SparkSession, d: str) -> DataFrame:
 def eval_modes(spark: SparkSession, d: str) -> DataFrame:
     """hit@5, recall@5 and MRR of each mode, one chunk a note."""
     c, g = chunks_now(spark, d), golden(spark, d)
-    lists = {
-        "keyword": keyword.keyword_search(table(spark, d, "chunks"), g, FETCH), "semantic": _bow(spark, d, FETCH), "hybrid": _fused(spark, d).select("query_id", "id", "rank"),
-    }
+    kw, bow = written(keyword.keyword_search(table(spark, d, "chunks"), g, FETCH), "kw"), written(_bow(spark, d, FETCH), "bow")
+    lists = {"keyword": kw, "semantic": bow, "hybrid": hybrid.rrf([kw, bow], pool=POOL)}
     out = None
     for mode, hits in lists.items():
         best = hybrid.diversify(hybrid.hydrate(hits.select("query_id", "id", "rank"), c), 1, 5)

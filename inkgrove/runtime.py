@@ -47,3 +47,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its source has far fewer partitions than there are cores (one small file, say).
+
+    Work per row is heavy in the operators that use this, so a shuffle of a small input pays; inputs of any size that
+    already have enough partitions are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
