@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkgrove.llm.words import fold, plain, split_words
+from inkgrove.runtime import spread
 
 LANGS = ("en", "de", "fr", "es", "pt", "id", "nl", "ru")
 OTHER = len(LANGS)  # the state for words of further scripts, code "und"
@@ -275,7 +276,8 @@ def _confidence(total: np.ndarray, n: int, state: int) -> float:
     return float(round(1 / np.exp(z - z[state]).sum(), 4))
 
 
-CELLS = 250_000
+#: Bounds of what is scored at once: words times documents, and documents.
+CELLS, STEP = 250_000, 1024
 
 
 def label_batch(texts: list[str | None], model: Model) -> list[tuple[np.ndarray, np.ndarray, list, np.ndarray]]:
@@ -360,13 +362,13 @@ def label_languages(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        for batch in batches:
+        for batch in (whole.iloc[a : a + STEP] for whole in batches for a in range(0, len(whole), STEP)):
             done = label_batch(batch["text"].tolist(), m)
             yield pd.DataFrame([_describe(d, g, m, *x) for d, g, x in zip(batch["doc_id"], batch["lang"], done, strict=True)], columns=["doc_id", "label", "label_code", "lang_code", "confidence", "langs", "is_case", "segments"])
             m.trim()
 
     named = documents.where(F.col(doc_id).isNotNull())
-    return named.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).mapInPandas(label, LABELS)
+    return spread(named.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))).mapInPandas(label, LABELS)
 
 
 def mislabelled(documents: DataFrame, **columns) -> DataFrame:

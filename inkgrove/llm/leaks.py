@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkgrove.llm.words import words
-from inkgrove.runtime import written
+from inkgrove.runtime import spread, written
 
 RUN = 8
 #: Characters of passages in one block, the proven bound of what is broadcast.
@@ -151,7 +151,7 @@ def leaked_spans(documents: DataFrame, items: DataFrame, run: int = RUN, doc_id:
     words, match nothing, nor do rows without an id; repeated documents and items are each reported; further columns are ignored.
     """
     spark = documents.sparkSession
-    docs = documents.where((F.length(text) >= 2 * run - 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    docs = spread(documents.where((F.length(text) >= 2 * run - 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
     found = []
     for block in _item_blocks(items, item_id, passage, block_chars):
         block = [(i, w) for i, w in block if len(w) >= run]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from inkgrove.llm import residue as R
 from inkgrove.llm.blocks import KINDS, LABELS, Labeller, Leaf, leaves
+from inkgrove.runtime import spread
 
 MARKDOWN_AT = KINDS.index("markdown")
 
@@ -203,7 +204,7 @@ STEP = 2048
 
 
 def _texts(df: DataFrame) -> DataFrame:
-    return df.where(F.length("text") > 0)
+    return spread(df.where(F.length("text") > 0))
 
 
 def label_blocks(df: DataFrame) -> DataFrame:
@@ -264,4 +265,4 @@ def clean_rows(df: DataFrame) -> DataFrame:
                     out.append(clean(text, markdown) if len(doc) and _flags(score, model, markdown).any() else text)
                 yield pd.DataFrame({"src_table": batch["src_table"].to_numpy(), "row_id": batch["row_id"].to_numpy(), "clean_text": out})
 
-    return df.mapInPandas(run, "src_table string, row_id bigint, clean_text string")
+    return spread(df).mapInPandas(run, "src_table string, row_id bigint, clean_text string")

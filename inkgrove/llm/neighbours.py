@@ -248,8 +248,12 @@ def nearest_neighbours(df: DataFrame, k: int = 5, dim: int = 64, min_cosine: flo
     pool = F.concat(own, F.coalesce(F.col("near").cast(pairs), F.array().cast(pairs)))
     each = whole.select(F.explode("ids").alias("me"), pool.alias("pool")).select("me", F.slice(F.array_sort(F.filter("pool", lambda x: x["other"] != F.col("me"))), 1, k).alias("near"))
     full = groups.where(F.size("ids") > k).select("vec", "ids")  # copies beyond the k + 1 smallest ids
+    ranked = [F.col("me").alias("id"), F.posexplode("near").alias("rank", "n")]
+    final = [F.col("id"), (F.col("rank") + 1).alias("rank"), F.col("n.other"), (-F.col("n.d")).alias("cosine")]
+    if full.isEmpty():  # no vector with more copies than that: the vectors need not be shuffled once more
+        return each.select(*ranked).select(*final)
     rest = all_rows.join(full, "vec").where(~F.array_contains("ids", F.col("id"))).select(F.col("id").alias("me"), F.slice(own, 1, k).alias("near"))
-    return each.unionByName(rest).select(F.col("me").alias("id"), F.posexplode("near").alias("rank", "n")).select("id", (F.col("rank") + 1).alias("rank"), "n.other", (-F.col("n.d")).alias("cosine"))
+    return each.unionByName(rest).select(*ranked).select(*final)
 
 
 def similar_pairs(df: DataFrame, min_cosine: float = 0.9, **options) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrove.llm.tokens import token_count
-from inkgrove.runtime import written
+from inkgrove.runtime import spread, written
 
 CAPACITY = 2048
 #: Bounds of a shard: what one task holds is some 20 bytes a text.
@@ -112,7 +112,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, shares: dict[str, float
     the later text in order of a hash, so a result repeats whatever the partitions.
     """
     count = token_count(F.col(text)) if tokens is None else tokens
-    sized = written(documents.select(F.col(doc_id).cast("string").alias("doc_id"), F.xxhash64(doc_id, text).alias("mix"), F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)).alias("source"), F.coalesce(count, F.lit(0)).cast("bigint").alias("n")), "sized")
+    sized = written(spread(documents.select(doc_id, text, source)).select(F.col(doc_id).cast("string").alias("doc_id"), F.xxhash64(doc_id, text).alias("mix"), F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)).alias("source"), F.coalesce(count, F.lit(0)).cast("bigint").alias("n")), "sized")
     total = sized.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("texts")).first()
     shards = max(1, -(-total.tokens // shard_tokens), -(-total.texts // SHARD_TEXTS))
     items = sized.withColumn("shard", F.pmod("mix", F.lit(shards)))

@@ -81,4 +81,23 @@ QUERIES = {
     "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_labels": p8_labels,
 }
 
-SQL = {"p1_found": "SELECT id FROM chunks WHERE length(chunk_text) > 1500"}
+_INVISIBLE = r"[\x{AD}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}]"
+_INLINE = r"</?(?:b|i|em|strong|span|font|sup|sub|u|s|code|ref|nowiki|small|a)(?:\s[^<>]*)?/?>"
+
+
+def _words(text: str) -> str:
+    bare = rf"regexp_replace(regexp_replace(regexp_replace({text}, '<!--[\s\S]*?-->', ' ', 'g'), '{_INLINE}', '', 'gi'), '</?[A-Za-z][^<>]*>', ' ', 'g')"
+    return rf"regexp_extract_all(regexp_replace(strip_accents(lower({bare})), '{_INVISIBLE}', '', 'g'), '[\p{{L}}\p{{N}}]+')"
+
+
+def _grams(table_name: str, key: str, text: str) -> str:
+    return f"SELECT DISTINCT {key}, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT {key}, {_words(text)} AS w FROM {table_name}) WHERE len(w) >= 8)"
+
+
+SQL = {
+    "p1_found": "SELECT id FROM chunks WHERE length(chunk_text) > 1500",
+    "p5_found": """WITH u AS (SELECT id, embedding::DOUBLE[] AS v FROM vec_chunks WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+near AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(c, 9) DESC, b.id) <= 5)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM near WHERE c >= 0.9""",
+    "p7_found": f"SELECT DISTINCT doc_id, item_id FROM ({_grams('documents', 'doc_id', 'text')}) JOIN ({_grams('eval_items', 'item_id', 'passage')}) USING (g)",
+}

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkgrove.runtime import spread
+
 INSIDE, WORD, SENTENCE, LINE, PARAGRAPH, SECTION = range(6)
 BOUNDARY_NAMES = ("inside", "word", "sentence", "line", "paragraph", "section")
 
@@ -145,4 +147,4 @@ def split_oversized(df: DataFrame, limit: int = 1500, overlap: int = 0, id_col:
             rows = [{"id": i} | p for i, text, first in zip(batch["id"], batch["text"], batch["line"], strict=True) for p in split_text(text, limit, overlap, int(first))]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
 
-    return big.mapInPandas(cut, PIECES)
+    return spread(big).mapInPandas(cut, PIECES)
