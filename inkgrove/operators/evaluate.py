@@ -32,9 +32,14 @@ def judged(hits: DataFrame, golden: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
+def six_digits(value: Column) -> Column:
+    """Rounded to six digits, so that sums in another order give the same result: ties, even missed by a hair, go up."""
+    return F.floor(value * 1e6 + 0.500001) / F.lit(1e6)
+
+
 def summary(judgements: DataFrame) -> DataFrame:
     """One row ``(queries, hit_at_k, recall_at_k, mrr)``."""
-    return judgements.agg(F.count("*").alias("queries"), *[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(n) for c, n in (("hit", "hit_at_k"), ("recall", "recall_at_k"), ("rr", "mrr"))])
+    return judgements.agg(F.count("*").alias("queries"), *[six_digits(F.coalesce(F.avg(c), F.lit(0.0))).alias(n) for c, n in (("hit", "hit_at_k"), ("recall", "recall_at_k"), ("rr", "mrr"))])
 
 
 def _ordered(samples: DataFrame, value: str, group: str) -> DataFrame:
@@ -69,3 +74,12 @@ def score_quantiles(samples: DataFrame, value: str, group: str) -> DataFrame:
         F.max("n").alias("n"), F.min("v").alias("low"), F.round(F.when(F.max("n") > 1, low + (high - low) * share), 6).alias("p10"),
         F.round((_at(F.floor((n + 1) / 2)) + _at(F.floor((n + 2) / 2))) / 2, 6).alias("median"), F.max("v").alias("high"),
     )
+
+
+def report(rows: DataFrame) -> str:
+    """A markdown table of ``Engine.evaluate`` results (one row per mode, so few rows are collected)."""
+    names = [c for c in ("mode", "queries", "hit_at_k", "recall_at_k", "mrr", "avg_ms", "p95_ms") if c in rows.columns]
+    lines = ["| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
+    for r in rows.orderBy("mode").collect():
+        lines.append("| " + " | ".join(f"{r[c]:.2f}" if isinstance(r[c], float) else str(r[c]) for c in names) + " |")
+    return "\n".join(lines)

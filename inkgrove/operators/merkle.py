@@ -16,6 +16,7 @@ import json
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,7 +124,9 @@ class RecordStore:
         """Writes a version's records, sorted by leaf, and its tree, without publishing."""
         with_leaf(records.select("key", "path", "content"), self.shape).repartitionByRange("leaf").sortWithinPartitions("leaf").write.mode("overwrite").parquet(f"{self.base}/{version}/records")
         nodes = load_nodes(tree_nodes(self.records(version), self.shape))
-        rows = self.spark.createDataFrame([(*k, *v) for k, v in nodes.items()], "level int, node int, n bigint, d1 bigint, d2 bigint")
+        columns = list(zip(*[(*k, *v) for k, v in nodes.items()], strict=True)) or [[]] * 5
+        kinds = (("level", pa.int32()), ("node", pa.int32()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()))
+        rows = self.spark.createDataFrame(pa.table({name: pa.array(values, kind) for values, (name, kind) in zip(columns, kinds, strict=True)}))
         rows.coalesce(1).write.mode("overwrite").parquet(f"{self.base}/{version}/tree")
         self._loaded[version] = nodes
         return self.records(version)

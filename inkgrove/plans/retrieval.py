@@ -186,12 +186,18 @@ SELECT query_id, id, round(distance, 6) AS distance, rank FROM (
 
 
 #: Judgements of one list of (query_id, rank, rel_path).
-_JUDGE = r"""SELECT query_id, max((first IS NOT NULL)::BIGINT) AS hit, max(round(least(1.0::DOUBLE, found / n::DOUBLE), 6)) AS recall, max(round(coalesce(1.0::DOUBLE / first, 0), 6)) AS rr FROM (
+_JUDGE = r"""SELECT query_id, max((first IS NOT NULL)::BIGINT) AS hit, max(least(1.0::DOUBLE, found / n::DOUBLE)) AS recall, max(coalesce(1.0::DOUBLE / first, 0)) AS rr FROM (
   SELECT w.query_id, any_value(w.n) AS n, min(g.rank) FILTER (WHERE g.path = w.want OR (NOT contains(w.want, '/') AND string_split(g.path, '/')[-1] = w.want)) AS first,
     count(DISTINCT g.path) FILTER (WHERE g.path = w.want OR (NOT contains(w.want, '/') AND string_split(g.path, '/')[-1] = w.want)) AS found
   FROM want w LEFT JOIN (SELECT query_id, r2 AS rank, regexp_replace(key, '\.md$', '') AS path FROM {0}) g ON g.query_id = w.query_id GROUP BY w.query_id) GROUP BY query_id"""
 _WANT = r"""want AS (SELECT item_id AS query_id, len(expected) AS n, regexp_replace(lower(nfc_normalize(regexp_replace(trim(replace(unnest(expected), '\', '/')), '^(\./)+', ''))), '\.md$', '') AS want FROM eval_items WHERE len(expected) > 0)"""
 _MODES = ", ".join(f"{m}_h AS (SELECT x.query_id, x.rank, ch.* FROM {src} x JOIN ch USING (id)), {m}_d AS ({_DIVERSE.format(m + '_h', 1)}), {m}_j AS ({_JUDGE.format(m + '_d')})" for m, src in (("keyword", "kw"), ("semantic", "bow"), ("hybrid", "fused")))
+
+
+def _six(column: str) -> str:
+    return f"floor(avg({column}) * 1e6::DOUBLE + 0.500001::DOUBLE) / 1e6::DOUBLE"
+
+
 _STATES = ", ".join(f"'{s}'" for s in csv_values(STATUS))
 
 SQL = {
@@ -207,6 +213,6 @@ SQL = {
     "rerank_floor": f"WITH {_RRF}, {_OVERLAP} SELECT * FROM ov WHERE score >= 0.4",
     "best_rejected": f"WITH {_RRF}, {_OVERLAP} SELECT query_id, max(score) AS best_rejected FROM ov GROUP BY 1 HAVING max(score) < 0.8",
     "filtered_search": f"WITH {_BM25}, {CH}, {CUR} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM scores JOIN ch USING (id) WHERE ch.rel_path >= '{FOLDER}/' AND ch.rel_path < '{FOLDER}0' AND ch.key IN (SELECT key FROM cur WHERE status IN ({_STATES})) QUALIFY rank <= {LIMIT}",
-    "judged_queries": f"WITH {_BM25}, {CH}, {_WANT}, h AS (SELECT k.query_id, k.rank, ch.* FROM kw k JOIN ch USING (id)), dv AS ({_DIVERSE.format('h', 1)}) {_JUDGE.format('dv')}",
-    "eval_modes": f"WITH {_RRF}, {_WANT}, {_MODES} " + " UNION ALL ".join(f"SELECT '{m}' AS mode, count(*) AS queries, round(avg(hit), 6) AS hit_at_k, round(avg(recall), 6) AS recall_at_k, round(avg(rr), 6) AS mrr FROM {m}_j" for m in ("keyword", "semantic", "hybrid")),
+    "judged_queries": f"WITH {_BM25}, {CH}, {_WANT}, h AS (SELECT k.query_id, k.rank, ch.* FROM kw k JOIN ch USING (id)), dv AS ({_DIVERSE.format('h', 1)}) SELECT query_id, hit, round(recall, 6) AS recall, round(rr, 6) AS rr FROM ({_JUDGE.format('dv')})",
+    "eval_modes": f"WITH {_RRF}, {_WANT}, {_MODES} " + " UNION ALL ".join(f"SELECT '{m}' AS mode, count(*) AS queries, {_six("hit")} AS hit_at_k, {_six("recall")} AS recall_at_k, {_six("rr")} AS mrr FROM {m}_j" for m in ("keyword", "semantic", "hybrid")),
 }
