@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgrove.functions.paths import display_path, hash_key, path_key
-from inkgrove.runtime import scratch, written
+from inkgrove.runtime import scratch
 
 
 @dataclass(frozen=True)
@@ -194,11 +194,16 @@ def changed_notes(notes: DataFrame, scan: DataFrame, runs: DataFrame, shape: Tre
     spark = scan.sparkSession
     store = RecordStore(spark, base or scratch(spark, "runs"), shape)
     plan = [(r.run_id, r.outcome) for r in runs.where("outcome = 'ok' or outcome is null").select("run_id", "outcome").orderBy("run_id").collect()]
-    seen = written(newest_per_run(scan).join(F.broadcast(spark.createDataFrame([(r,) for r, _ in plan], "run_id bigint")), "run_id", "left_semi") if plan else newest_per_run(scan).limit(0), "seen")
+    if not plan:
+        return spark.createDataFrame([], "run_id bigint, rel_path string")
+    wanted = spark.createDataFrame([(r,) for r, _ in plan], "run_id bigint")
+    listed = scratch(spark, "seen")  # by run, so that each run reads its own listing only
+    newest_per_run(scan.join(F.broadcast(wanted), "run_id", "left_semi")).write.partitionBy("run_id").parquet(listed)
+    seen = spark.read.schema("key string, path string, content string, run_id bigint").parquet(listed)
     store.bootstrap("start", known_notes(notes))
     out = []
     for run_id, outcome in plan:
         version = f"run-{run_id}"
         store.run(version, seen.where(F.col("run_id") == run_id), publish=outcome == "ok")
         out.append(store.output(version).select(F.lit(run_id).cast("bigint").alias("run_id"), F.col("path").alias("rel_path")))
-    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], "run_id bigint, rel_path string")
+    return reduce(DataFrame.unionByName, out)
