@@ -8,7 +8,8 @@ from window to window.
 Windows are filled in shards of bounded size (a hash of the document id, so a source with a third of all rows is spread
 evenly). A shard uses up all its texts, so what it leaves as deficit is known before it runs: target share times the
 tokens before it, less the source's own tokens before it. Running sums over (shard, source) totals give each shard the
-deficits it starts with, and shards run in parallel as if one after another.
+deficits it starts with, and shards run in parallel as if one after another. Without targets of the caller's, a shard
+paces its sources by its own token shares, so all last to its end and the mixture stays even from first to last window.
 """
 
 from __future__ import annotations
@@ -119,15 +120,17 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, shares: dict[str, float
 
     per = items.groupBy("shard", "source").agg(F.sum("n").alias("own"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    running = per.groupBy("shard").agg(F.sum("own").alias("t")).select("shard", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("tokens_before"))
+    running = per.groupBy("shard").agg(F.sum("own").alias("t")).select("shard", "t", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("tokens_before"))
     own_before = F.coalesce(F.sum("own").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     all_of = F.sum("own").over(Window.partitionBy("source"))
     wanted = all_of / F.lit(float(max(1, total.tokens)))
+    pace = F.col("own") / F.greatest(F.col("t"), F.lit(1))  # so that a shard's sources last equally long; what differs from the target is carried
     if shares is not None:
         whole = sum(shares.values())
         pairs = [x for k, v in shares.items() for x in (F.lit(k), F.lit(v / whole))]
         wanted = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("source")), F.lit(0.0)) if pairs else F.lit(0.0)
-    carry = per.withColumn("share", wanted).withColumn("own_before", own_before).join(running, "shard").select(F.col("shard").alias("of_shard"), F.col("source").alias("name"), "share", (F.col("share") * F.col("tokens_before") - F.col("own_before")).alias("credit"))
+        pace = F.col("share")
+    carry = per.withColumn("share", wanted).withColumn("own_before", own_before).join(running, "shard").select(F.col("shard").alias("of_shard"), F.col("source").alias("name"), pace.alias("share"), (F.col("share") * F.col("tokens_before") - F.col("own_before")).alias("credit"))
 
     def run(key: tuple, texts: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         start = start.sort_values("name")
