@@ -71,11 +71,11 @@ def frequencies(index: DataFrame, phrases: DataFrame, weights: tuple[float, ...]
 
 def score(freq: DataFrame, row_sizes: DataFrame, phrases: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """``(query_id, id, score)``, higher is better. Statistics are those of ``row_sizes`` and ``freq``; ``candidates`` (id) limits who is ranked."""
-    stats = row_sizes.agg(F.count("*").alias("n_rows"), F.avg("d").alias("avgdl"))
+    stats = row_sizes.agg(F.count("*").alias("n_rows"), F.avg("d").alias("avgdl")).first()
     df = freq.groupBy("phrase").agg(F.count("*").alias("n"))
-    raw = F.log((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = df.join(F.broadcast(stats)).select("phrase", "avgdl", F.when(raw > 0, raw).otherwise(F.lit(1e-6)).alias("idf"))  # stats is one row
-    part = F.col("idf") * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("d") / F.col("avgdl")))
+    raw = F.log((F.lit(stats.n_rows) - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    idf = df.select("phrase", F.when(raw > 0, raw).otherwise(F.lit(1e-6)).alias("idf"))
+    part = F.col("idf") * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("d") / F.lit(stats.avgdl or 1.0)))
     scored = freq.join(idf, "phrase").join(row_sizes, "id").select("phrase", "id", part.alias("part"))
     if candidates is not None:
         scored = scored.join(candidates.select("id"), "id", "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,12 +53,8 @@ def merge(old: DataFrame, new: DataFrame, touched: DataFrame, on: str = "rel_pat
 
 def health(notes: DataFrame, chunks: DataFrame, vectors: DataFrame, stale: DataFrame) -> DataFrame:
     """One row: counts of the index and its state, STALE before INCONSISTENT before OK."""
-    counts = [
-        notes.agg(F.sum(F.col("skip_reason").isNull().cast("bigint")).alias("indexed"), F.sum(F.col("skip_reason").isNotNull().cast("bigint")).alias("skipped")),
-        chunks.agg(F.count("*").alias("chunks")), vectors.agg(F.count("*").alias("vectors")), stale.agg(F.count("*").alias("stale")),
-    ]
-    one = counts[0]
-    for c in counts[1:]:
-        one = one.join(F.broadcast(c))  # single rows
+    parts = {"indexed": notes.where("skip_reason is null"), "skipped": notes.where("skip_reason is not null"), "chunks": chunks, "vectors": vectors, "stale": stale}
+    counts = reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).withColumn("name", F.lit(name)) for name, df in parts.items()])
+    one = counts.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in parts])
     state = F.when(F.col("stale") > 0, "STALE").when(F.col("chunks") != F.col("vectors"), "INCONSISTENT").otherwise("OK")
     return one.withColumn("state", state)
