@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,10 +147,17 @@ def top_in_block(query_ids: np.ndarray, queries: np.ndarray, member_ids: np.ndar
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_n, out_c)], ["id", "other", "cosine"])
 
 
+NEAR = "array<struct<d:double,other:bigint>>"
+
+
 def _nearest(scored: DataFrame, k: int) -> DataFrame:
-    """``(id, near array<struct<cosine,other>>)`` from scored candidates, each other once; a query meets a bounded number of candidates (probes * k)."""
-    best = F.array_sort(F.array_distinct(F.flatten(F.collect_list("near"))), lambda x, y: F.when(x["cosine"] != y["cosine"], F.when(x["cosine"] > y["cosine"], -1).otherwise(1)).otherwise(F.when(x["other"] < y["other"], -1).when(x["other"] > y["other"], 1).otherwise(0)))
-    return scored.groupBy("id").agg(F.slice(best, 1, k).alias("near"))
+    """``(id, near)``, ``near`` in order of d = -cosine and id, from scored candidates; a query has a bounded number of them (probes * k).
+
+    One pair gets the same cosine in every leaf, bit by bit, so its repeats are neighbours once sorted.
+    """
+    pool = scored.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("pool"))
+    fresh = F.filter("pool", lambda x, i: (i == 0) | (x != F.element_at("pool", F.greatest(i, F.lit(1)))))
+    return pool.select("id", F.slice(fresh, 1, k).alias("near"))
 
 
 def search(vectors: DataFrame, dim: int, k: int, trees: int = TREES, leaf: int = LEAF, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
@@ -157,7 +165,7 @@ def search(vectors: DataFrame, dim: int, k: int, trees: int = TREES, leaf: int =
     spark = vectors.sparkSession
     n = vectors.count()
     if n < 2:
-        return spark.createDataFrame([], "id bigint, near array<struct<cosine:double,other:bigint>>")
+        return spark.createDataFrame([], f"id bigint, near {NEAR}")
     share = int(min(1.0, 1.05 * sample / n) * (1 << 20)) + 1
     rows = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share).select("vec").limit(sample).collect()
     fitted = _unit(np.frombuffer(b"".join(bytes(r.vec) for r in rows), np.float32).reshape(-1, dim)) if rows else np.zeros((0, dim), np.float32)
@@ -208,11 +216,11 @@ def search(vectors: DataFrame, dim: int, k: int, trees: int = TREES, leaf: int =
         flat = top_in_block(ids[query], x[query], ids[member], x[member], k)
         q = flat.column("id").to_numpy()
         starts = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(q)).astype(np.int32)), pa.StructArray.from_arrays([flat.column("cosine"), flat.column("other")], ["cosine", "other"]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(q)).astype(np.int32)), pa.StructArray.from_arrays([pc.negate(flat.column("cosine")), flat.column("other")], ["d", "other"]))
         return pa.table({"id": pa.array(q[starts]), "near": lists})
 
-    near_type = pa.list_(pa.struct([("cosine", pa.float64()), ("other", pa.int64())]))
-    scored = vectors.mapInArrow(visit, "cell bigint, id bigint, member boolean, query boolean, vec binary").groupBy("cell").applyInArrow(rank, "id bigint, near array<struct<cosine:double,other:bigint>>")
+    near_type = pa.list_(pa.struct([("d", pa.float64()), ("other", pa.int64())]))
+    scored = vectors.mapInArrow(visit, "cell bigint, id bigint, member boolean, query boolean, vec binary").groupBy("cell").applyInArrow(rank, f"id bigint, near {NEAR}")
     return _nearest(scored, k)
 
 
@@ -236,16 +244,15 @@ def nearest_neighbours(df: DataFrame, k: int = 5, dim: int = 64, min_cosine: flo
     """
     all_rows = usable(df, dim, id_col, vector_col)
     groups = written(folded(all_rows, k), "vectors")
-    found = search(groups.select("id", "vec"), dim, k, **forest).select("id", F.explode("near").alias("n")).select("id", "n.other", "n.cosine")
+    found = search(groups.select("id", "vec"), dim, k, **forest).select("id", F.explode("near").alias("n")).select("id", "n.other", "n.d")
     if min_cosine is not None:
-        found = found.where(F.col("cosine") >= min_cosine)
+        found = found.where(F.col("d") <= -min_cosine)
     copies = groups.where(F.size("ids") > 1).select(F.col("id").alias("other"), F.col("ids").alias("other_ids"))
-    known = found.join(copies, "other", "left").select("id", F.transform(F.coalesce("other_ids", F.array("other")), lambda x: F.struct((-F.col("cosine")).alias("d"), x.alias("other"))).alias("near"))
+    known = found.join(copies, "other", "left").select("id", F.transform(F.coalesce("other_ids", F.array("other")), lambda x: F.struct("d", x.alias("other"))).alias("near"))
     near = known.groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near"))  # at most k lists of k + 1
     whole = groups.select("id", "ids").join(near, "id", "left")
-    pairs = "array<struct<d:double,other:bigint>>"
-    own = F.transform("ids", lambda x: F.struct(F.lit(-1.0).alias("d"), x.alias("other"))).cast(pairs)
-    pool = F.concat(own, F.coalesce(F.col("near").cast(pairs), F.array().cast(pairs)))
+    own = F.transform("ids", lambda x: F.struct(F.lit(-1.0).alias("d"), x.alias("other"))).cast(NEAR)
+    pool = F.concat(own, F.coalesce(F.col("near").cast(NEAR), F.array().cast(NEAR)))
     each = whole.select(F.explode("ids").alias("me"), pool.alias("pool")).select("me", F.slice(F.array_sort(F.filter("pool", lambda x: x["other"] != F.col("me"))), 1, k).alias("near"))
     full = groups.where(F.size("ids") > k).select("vec", "ids")  # copies beyond the k + 1 smallest ids
     ranked = [F.col("me").alias("id"), F.posexplode("near").alias("rank", "n")]
@@ -276,9 +283,9 @@ def brute_force(df: DataFrame, queries: DataFrame, k: int = 5, dim: int = 64, bl
                 if batch.num_rows:
                     yield top_in_block(ids, x, batch.column("id").to_numpy(), _unit(_matrix(batch.column("vec"), dim)), k)
 
-        parts.append(rows.mapInArrow(scan, "id bigint, other bigint, cosine double").select("id", F.array(F.struct("cosine", "other")).alias("near")))
+        parts.append(rows.mapInArrow(scan, "id bigint, other bigint, cosine double").select("id", F.array(F.struct((-F.col("cosine")).alias("d"), "other")).alias("near")))
     if not parts:
-        return spark.createDataFrame([], "id bigint, near array<struct<cosine:double,other:bigint>>")
+        return spark.createDataFrame([], f"id bigint, near {NEAR}")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -288,7 +295,7 @@ def brute_force(df: DataFrame, queries: DataFrame, k: int = 5, dim: int = 64, bl
 def recall(df: DataFrame, k: int = 5, every: int = 100, dim: int = 64, **options) -> DataFrame:
     """One row ``(queries, found, wanted, recall)``: neighbours against brute force for ids divisible by ``every``; a neighbour counts if it is as similar as the k-th true one."""
     asked = df.where(F.col("id") % every == 0)
-    truth = brute_force(df, asked, k, dim).select("id", F.element_at("near", -1)["cosine"].alias("least"), F.size("near").alias("want"))
+    truth = brute_force(df, asked, k, dim).select("id", (-F.element_at("near", -1)["d"]).alias("least"), F.size("near").alias("want"))
     got = nearest_neighbours(df, k, dim, **options).where(F.col("id") % every == 0).join(truth, "id", "right")
     per = got.groupBy("id", "want").agg(F.sum(F.when(F.col("cosine") >= F.col("least") - 1e-6, 1).otherwise(0)).alias("hit"))
     return per.agg(F.count("*").alias("queries"), F.sum(F.least("hit", "want")).alias("found"), F.sum("want").alias("wanted")).withColumn("recall", F.round(F.col("found") / F.col("wanted"), 4))
