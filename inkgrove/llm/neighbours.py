@@ -160,8 +160,9 @@ def _nearest(scored: DataFrame, k: int) -> DataFrame:
     return pool.select("id", F.slice(fresh, 1, k).alias("near"))
 
 
-def search(vectors: DataFrame, dim: int, k: int, trees: int = TREES, leaf: int = LEAF, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
-    """``(id, near)`` for distinct ``(id, vec)``: every row is indexed and every row is a query."""
+def search(vectors: DataFrame, dim: int, k: int, min_cosine: float | None = None, trees: int = TREES, leaf: int = LEAF, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
+    """``(id, near)`` for distinct ``(id, vec)``: every row is indexed and every row is a query. Candidates under ``min_cosine``
+    are dropped in their leaf, before the shuffle; those above it keep their ranks."""
     spark = vectors.sparkSession
     n = vectors.count()
     if n < 2:
@@ -214,6 +215,8 @@ def search(vectors: DataFrame, dim: int, k: int, trees: int = TREES, leaf: int =
         if not member.any() or not query.any():
             return pa.table({"id": pa.array([], pa.int64()), "near": pa.array([], near_type)})
         flat = top_in_block(ids[query], x[query], ids[member], x[member], k)
+        if min_cosine is not None:
+            flat = flat.filter(pc.greater_equal(flat.column("cosine"), min_cosine))
         q = flat.column("id").to_numpy()
         starts = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(q)).astype(np.int32)), pa.StructArray.from_arrays([pc.negate(flat.column("cosine")), flat.column("other")], ["d", "other"]))
@@ -244,9 +247,7 @@ def nearest_neighbours(df: DataFrame, k: int = 5, dim: int = 64, min_cosine: flo
     """
     all_rows = usable(df, dim, id_col, vector_col)
     groups = written(folded(all_rows, k), "vectors")
-    found = search(groups.select("id", "vec"), dim, k, **forest).select("id", F.explode("near").alias("n")).select("id", "n.other", "n.d")
-    if min_cosine is not None:
-        found = found.where(F.col("d") <= -min_cosine)
+    found = search(groups.select("id", "vec"), dim, k, min_cosine, **forest).select("id", F.explode("near").alias("n")).select("id", "n.other", "n.d")
     copies = groups.where(F.size("ids") > 1).select(F.col("id").alias("other"), F.col("ids").alias("other_ids"))
     known = found.join(copies, "other", "left").select("id", F.transform(F.coalesce("other_ids", F.array("other")), lambda x: F.struct("d", x.alias("other"))).alias("near"))
     near = known.groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near"))  # at most k lists of k + 1
