@@ -119,7 +119,9 @@ def _table(m: re.Match) -> str:
 def _plain(text: str, markdown: bool) -> str:
     """One stretch without code or formulas, converted."""
     if "<" in text:
-        text = R.TAG.sub(_tag, R.COMMENT.sub("", _SPARE_COMMENT.sub("", text)))
+        if "-->" in text:
+            text = R.COMMENT.sub("", _SPARE_COMMENT.sub("", text))
+        text = R.TAG.sub(_tag, text)
     if "{|" in text:
         text = R.WIKI_TABLE.sub(_table, text)
     text = _SPARE_TEMPLATE.sub("", text) if "{{" in text else text

@@ -21,8 +21,8 @@ _BLOCK_MATH = r"\$\$[\s\S]+?\$\$"
 _MATH = r"(?<![\\$\w])\$(?![\s$])(?:(?!\n[^\S\n]*\n)[^$])*?(?<![\s\\])\$(?![\w$])"
 _QUIET = re.compile(f"(?P<code>{_CODE})|(?P<block>{_BLOCK_MATH})|(?P<math>{_MATH})")
 
-_ATTRS = r"(?:\s+(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*)?"
-TAG = re.compile(rf"</?(?P<el>{'|'.join(sorted(ELEMENTS.split(), key=len, reverse=True))})(?![\w:-]){_ATTRS}\s*/?>|<!DOCTYPE[^>]*>", re.I)
+_ATTRS = r"(?:\s(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*)?"
+TAG = re.compile(rf"</?(?P<el>{'|'.join(sorted(ELEMENTS.split(), key=len, reverse=True))})(?![\w:-]){_ATTRS}/?>|<!DOCTYPE[^>]*>", re.I)
 COMMENT = re.compile(r"<!--[\s\S]*?-->")
 ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|(?P<name>[A-Za-z][A-Za-z0-9]{1,31}));")
 QUOTES = re.compile(r"(?<![\w'])('{2,5})(?=[^\s'])(?:(?!\n[^\S\n]*\n)[\s\S])*?[^\s'](?<!')\1(?![\w'])")
@@ -105,7 +105,9 @@ def residue(text: str | None, markdown: bool) -> list[tuple[int, int, str]]:
         out.extend((m.start(), m.end(), kind) for p in patterns for m in p.finditer(masked))
 
     if "<" in masked:
-        add(HTML, TAG, COMMENT)
+        add(HTML, TAG)
+        if "-->" in masked:
+            add(HTML, COMMENT)
     if "&" in masked:
         out.extend((m.start(), m.end(), HTML) for m in ENTITY.finditer(masked) if not m["name"] or m["name"] + ";" in html5)
     if "''" in masked:
