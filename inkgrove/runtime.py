@@ -68,4 +68,6 @@ def spread(df: DataFrame) -> DataFrame:
     already have enough partitions are left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():  # shuffled already; counting its partitions would run it
+        return df
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
