@@ -17,6 +17,7 @@ from inkgrove.config import STATUS_VALUES
 from inkgrove.functions.paths import path_key
 from inkgrove.functions.text import strip
 from inkgrove.operators.filters import is_hub_name, walk_key
+from inkgrove.runtime import written
 
 
 def target_key(target: Column) -> Column:
@@ -76,36 +77,36 @@ def backlinks(links: DataFrame, notes: DataFrame) -> DataFrame:
     return r.select(F.col("resolved").alias("rel_path"), F.col("src").alias("src_rel"), "line_no").distinct()
 
 
-def inbound(links: DataFrame, notes: DataFrame) -> DataFrame:
+def inbound(links: DataFrame, notes: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     """``(rel_path, n)``: links into each note, each spelling of a source counted once, own links not at all."""
-    r = resolved_links(links, notes).where(F.col("resolved").isNotNull() & (F.col("src").isNull() | (F.col("src") != F.col("resolved"))))
+    r = (resolved if resolved is not None else resolved_links(links, notes)).where(F.col("resolved").isNotNull() & (F.col("src").isNull() | (F.col("src") != F.col("resolved"))))
     pairs = r.select(F.col("resolved").alias("rel_path"), F.coalesce("src", "src_rel").alias("s"), strip(F.col("target")).alias("t")).distinct()
     return pairs.groupBy("rel_path").agg(F.count("*").alias("n"))
 
 
-def broken_links(links: DataFrame, notes: DataFrame, files: DataFrame | None = None) -> DataFrame:
+def broken_links(links: DataFrame, notes: DataFrame, files: DataFrame | None = None, resolved: DataFrame | None = None) -> DataFrame:
     """``(rel_path, target)`` of links that reach neither a note nor, by its base name, one of ``files`` (name_lower)."""
-    r = resolved_links(links, notes).select(F.coalesce("src", "src_rel").alias("rel_path"), strip(F.col("target")).alias("target"), "resolved").distinct()
+    r = (resolved if resolved is not None else resolved_links(links, notes)).select(F.coalesce("src", "src_rel").alias("rel_path"), strip(F.col("target")).alias("target"), "resolved").distinct()
     other = r.where(attachment(F.col("target"))).withColumn("name_lower", file_name(F.col("target")))
     missing = other if files is None else other.join(files.select("name_lower"), "name_lower", "left_anti")
     return r.where(~attachment(F.col("target")) & F.col("resolved").isNull()).select("rel_path", "target").unionByName(missing.select("rel_path", "target"))
 
 
-def content_map(links: DataFrame, notes: DataFrame) -> DataFrame:
+def content_map(links: DataFrame, notes: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     """``(rel_path)`` of the notes the root readme links to: the map of content."""
-    from_root = links.where(target_key(F.col("src_rel")) == "readme")
-    return resolve_targets(from_root, notes).where(F.col("resolved").isNotNull()).select(F.col("resolved").alias("rel_path")).distinct()
+    root = target_key(F.col("src_rel")) == "readme"
+    return (resolved.where(root) if resolved is not None else resolve_targets(links.where(root), notes)).where(F.col("resolved").isNotNull()).select(F.col("resolved").alias("rel_path")).distinct()
 
 
-def orphan_notes(links: DataFrame, notes: DataFrame) -> DataFrame:
+def orphan_notes(links: DataFrame, notes: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     """``(rel_path)`` of notes nothing links to, but for the root readme."""
-    return note_keys(notes).where(F.lower("rel_path") != "readme.md").select("rel_path").join(inbound(links, notes), "rel_path", "left_anti")
+    return note_keys(notes).where(F.lower("rel_path") != "readme.md").select("rel_path").join(inbound(links, notes, resolved), "rel_path", "left_anti")
 
 
-def without_hub(links: DataFrame, notes: DataFrame) -> DataFrame:
+def without_hub(links: DataFrame, notes: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     """``(rel_path)`` of notes that are no hub and link to none; hubs go by name or stand in the map of content."""
-    moc = content_map(links, notes)
-    r = resolved_links(links, notes)
+    moc = content_map(links, notes, resolved)
+    r = resolved if resolved is not None else resolved_links(links, notes)
     by_name = r.where(is_hub_name(F.translate(strip(F.col("target")), "\\", "/"))).select(F.col("src").alias("rel_path"))
     by_map = r.join(moc.select(F.col("rel_path").alias("resolved")), "resolved", "left_semi").select(F.col("src").alias("rel_path"))
     linked = by_name.unionByName(by_map).where(F.col("rel_path").isNotNull()).distinct()
@@ -134,10 +135,11 @@ def junk_lines(notes: DataFrame, text: str, most: int) -> DataFrame:
 def lint(links: DataFrame, notes: DataFrame, files: DataFrame | None = None, allowed: Sequence[str] = STATUS_VALUES, extra: Sequence[DataFrame] = ()) -> DataFrame:
     """Findings in long form ``(kind, rel_path, detail)``: broken, orphan, no_hub, bad_status, plus ready-made ``extra`` ones."""
     none = F.lit(None).cast("string").alias("detail")
+    r = written(resolved_links(links, notes), "resolved")  # one resolution for all findings
     parts = [
-        broken_links(links, notes, files).select(F.lit("broken").alias("kind"), "rel_path", F.col("target").alias("detail")),
-        orphan_notes(links, notes).select(F.lit("orphan").alias("kind"), "rel_path", none),
-        without_hub(links, notes).select(F.lit("no_hub").alias("kind"), "rel_path", none),
+        broken_links(links, notes, files, r).select(F.lit("broken").alias("kind"), "rel_path", F.col("target").alias("detail")),
+        orphan_notes(links, notes, r).select(F.lit("orphan").alias("kind"), "rel_path", none),
+        without_hub(links, notes, r).select(F.lit("no_hub").alias("kind"), "rel_path", none),
         bad_status(notes, allowed).select(F.lit("bad_status").alias("kind"), "rel_path", F.col("status").alias("detail")),
         *extra,
     ]
