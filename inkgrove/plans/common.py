@@ -24,8 +24,9 @@ CUR = rf"""cur AS (
 CH = rf"""ch AS (SELECT id, coalesce({PATH.format("rel_path")}, '') AS rel_path, coalesce({KEY.format("rel_path")}, '') AS key, title, heading, summary, chunk_text, line_start, line_end FROM chunks)"""
 
 
-def notes_now(spark: SparkSession, d: str) -> DataFrame:
-    return current_notes(table(spark, d, "notes"))
+def notes_now(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The notes as they stand, with the columns named."""
+    return current_notes(table(spark, d, "notes"), columns)
 
 
 def chunks_now(spark: SparkSession, d: str) -> DataFrame:

@@ -12,7 +12,7 @@ from inkgrove.sources.tables import table
 
 
 def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return table(spark, d, "links"), notes_now(spark, d)
+    return table(spark, d, "links"), notes_now(spark, d, "status")
 
 
 def resolve_links(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +62,7 @@ def without_hub(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bad_status(spark: SparkSession, d: str) -> DataFrame:
-    return links.bad_status(notes_now(spark, d))
+    return links.bad_status(notes_now(spark, d, "status"))
 
 
 def lint_counts(spark: SparkSession, d: str) -> DataFrame:

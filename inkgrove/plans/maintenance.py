@@ -18,7 +18,7 @@ def _listing(spark: SparkSession, d: str, run: int) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    return notes_now(spark, d).select(F.col("key").alias("rel_path"), "content_hash", "mtime")
+    return notes_now(spark, d, "mtime").select(F.col("key").alias("rel_path"), "content_hash", "mtime")
 
 
 def change_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -51,30 +51,30 @@ def merged_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def health_counts(spark: SparkSession, d: str) -> DataFrame:
-    return snapshots.health(notes_now(spark, d), table(spark, d, "chunks"), table(spark, d, "vec_chunks"), freshness(spark, d))
+    return snapshots.health(notes_now(spark, d, "skip_reason"), table(spark, d, "chunks"), table(spark, d, "vec_chunks"), freshness(spark, d))
 
 
 def tag_filter(spark: SparkSession, d: str) -> DataFrame:
-    return notes_now(spark, d).where(filters.has_tags(F.col("tags"), "#boat, Tools")).select("rel_path")
+    return notes_now(spark, d, "tags").where(filters.has_tags(F.col("tags"), "#boat, Tools")).select("rel_path")
 
 
 def status_filter(spark: SparkSession, d: str) -> DataFrame:
-    return notes_now(spark, d).where(filters.has_status(F.col("status"), "verified, blocked")).select("rel_path", "status")
+    return notes_now(spark, d, "status").where(filters.has_status(F.col("status"), "verified, blocked")).select("rel_path", "status")
 
 
 def chunks_of_notes(spark: SparkSession, d: str) -> DataFrame:
     """Chunks whose note has both filters' tags and state, as a semi join."""
     from inkgrove.plans.common import chunks_now
 
-    return filters.of_notes(chunks_now(spark, d), notes_now(spark, d), "kiln", "verified,active,draft", "key").select("id", "rel_path")
+    return filters.of_notes(chunks_now(spark, d), notes_now(spark, d, "tags", "status"), "kiln", "verified,active,draft", "key").select("id", "rel_path")
 
 
 def recent_notes(spark: SparkSession, d: str) -> DataFrame:
-    return filters.recent(notes_now(spark, d).where("mtime < 1e10"), folder="server", limit=20).select("rel_path", "mtime")
+    return filters.recent(notes_now(spark, d, "mtime").where("mtime < 1e10"), folder="server", limit=20).select("rel_path", "mtime")
 
 
 def skipped_notes(spark: SparkSession, d: str) -> DataFrame:
-    return notes_now(spark, d).where("skip_reason is not null").select("rel_path", "skip_reason")
+    return notes_now(spark, d, "skip_reason").where("skip_reason is not null").select("rel_path", "skip_reason")
 
 
 def chunk_count_drift(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +82,7 @@ def chunk_count_drift(spark: SparkSession, d: str) -> DataFrame:
     from inkgrove.plans.common import chunks_now
 
     real = chunks_now(spark, d).where("key <> ''").groupBy("key").agg(F.count("*").alias("n"))
-    both = notes_now(spark, d).join(real, "key", "left").select("rel_path", F.col("chunk_count").cast("bigint").alias("recorded"), F.coalesce("n", F.lit(0)).alias("held"))
+    both = notes_now(spark, d, "chunk_count").join(real, "key", "left").select("rel_path", F.col("chunk_count").cast("bigint").alias("recorded"), F.coalesce("n", F.lit(0)).alias("held"))
     return both.where(~F.col("recorded").eqNullSafe(F.col("held")))
 
 

@@ -98,7 +98,7 @@ def best_rejected(spark: SparkSession, d: str) -> DataFrame:
 def filtered_search(spark: SparkSession, d: str) -> DataFrame:
     """Keyword search inside a folder, over notes of some states; statistics are those of the whole corpus."""
     all_chunks = chunks_now(spark, d)
-    inside = filters.of_notes(all_chunks.where(filters.in_folder(F.col("rel_path"), FOLDER)), notes_now(spark, d), TAGS, STATUS, "key")
+    inside = filters.of_notes(all_chunks.where(filters.in_folder(F.col("rel_path"), FOLDER)), notes_now(spark, d, "tags", "status"), TAGS, STATUS, "key")
     scores = keyword.bm25_scores(inside, golden(spark, d), corpus=all_chunks)
     return keyword.top_per_query(scores, LIMIT).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
