@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -183,7 +184,7 @@ class Model:
     def rows(self, words: list[bytes]) -> np.ndarray:
         """Numbers of the words' rows; unseen words get a row once. The extra rows are dropped when they grow past a bound."""
         get = self.ids.get
-        out = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        out = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
         for k in np.flatnonzero(out < 0):
             w = words[k]
             at = get(w)

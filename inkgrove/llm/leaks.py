@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -56,7 +57,7 @@ def _encode(docs: DataFrame, vocabulary, run: int) -> DataFrame:
                 w = words(text)
                 if len(w) < run:
                     continue
-                a = np.fromiter((get(x, -1) for x in w), np.int32, len(w))
+                a = np.fromiter(map(get, w, repeat(-1)), np.int32, len(w))
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], a >= 0, [False])).astype(np.int8)))
                 for s, e in zip(edge[::2], edge[1::2], strict=True):
                     if e - s >= run:
