@@ -278,7 +278,7 @@ def _confidence(total: np.ndarray, n: int, state: int) -> float:
 
 
 #: Bounds of what is scored at once: words times documents, and documents.
-CELLS, STEP = 250_000, 1024
+CELLS, STEP = 250_000, 4096
 
 
 def label_batch(texts: list[str | None], model: Model) -> list[tuple[np.ndarray, np.ndarray, list, np.ndarray]]:
