@@ -30,6 +30,8 @@ from inkgrove.runtime import written
 #: Vectors the trees are fitted on. With 16 of them a leaf, one tree has at most SAMPLE / 16 leaves.
 SAMPLE = 32_768
 TREES, LEAF, PROBES = 6, 512, 16
+#: Leaves of a tree up to which ``PROBES`` are enough.
+PROBED_LEAVES = 256
 LEAF_BLOCK, VISIT_BLOCK = 4096, 16_384
 
 
@@ -90,6 +92,11 @@ def grow(sample: np.ndarray, trees: int, depth: int, seed: int = 7) -> Forest:
     return Forest(trees, depth, tuple(planes), tuple(offsets))
 
 
+def probes_of(depth: int) -> int:
+    """Leaves to visit in trees of this depth: with a fixed number the share searched, and with it the recall, falls as the table grows."""
+    return max(PROBES, math.ceil(PROBES * ((1 << depth) / PROBED_LEAVES) ** (2 / 3)))
+
+
 def _binary(x: np.ndarray) -> pa.Array:
     """Rows of a float32 matrix as a binary column."""
     x = np.ascontiguousarray(x, np.float32)
@@ -160,9 +167,10 @@ def _nearest(scored: DataFrame, k: int) -> DataFrame:
     return pool.select("id", F.slice(fresh, 1, k).alias("near"))
 
 
-def search(vectors: DataFrame, dim: int, k: int, min_cosine: float | None = None, trees: int = TREES, leaf: int = LEAF, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, dim: int, k: int, min_cosine: float | None = None, trees: int = TREES, leaf: int = LEAF, probes: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """``(id, near)`` for distinct ``(id, vec)``: every row is indexed and every row is a query. Candidates under ``min_cosine``
-    are dropped in their leaf, before the shuffle; those above it keep their ranks."""
+    are dropped in their leaf, before the shuffle; those above it keep their ranks. Without ``probes`` they follow from the
+    depth of the trees."""
     spark = vectors.sparkSession
     n = vectors.count()
     if n < 2:
@@ -171,6 +179,7 @@ def search(vectors: DataFrame, dim: int, k: int, min_cosine: float | None = None
     rows = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share).select("vec").limit(sample).collect()
     fitted = _unit(np.frombuffer(b"".join(bytes(r.vec) for r in rows), np.float32).reshape(-1, dim)) if rows else np.zeros((0, dim), np.float32)
     depth = max(0, min(math.ceil(math.log2(max(1, n / leaf))), int(math.log2(max(1, len(fitted) / 16)))))
+    probes = probes_of(depth) if probes is None else probes
     forest = spark.sparkContext.broadcast(grow(fitted, trees, depth))
     size = trees << depth
 

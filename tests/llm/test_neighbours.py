@@ -81,3 +81,10 @@ def test_large_leaves_are_cut_and_lose_nothing(spark, monkeypatch):
     got = {(r.id, r.other) for r in N.nearest_neighbours(df, 3, 8, leaf=10_000).collect()}
     want = {(r.id, n.other) for r in N.brute_force(df, df, 3, 8).collect() for n in r.near}
     assert got == want
+
+
+def test_recall_stays_as_the_leaves_grow_in_number(spark):
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(40, 16))[rng.integers(40, size=30_000)] + 0.6 * rng.normal(size=(30_000, 16))).astype(np.float32)
+    r = N.recall(frame(spark, x), 5, 100, dim=16, leaf=32).first()  # 1024 leaves a tree
+    assert r.queries == 300 and r.recall >= 0.95
