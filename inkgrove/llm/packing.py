@@ -28,6 +28,8 @@ SHARD_TOKENS, SHARD_TEXTS = 4_000_000, 500_000
 #: Below this share of free room, the best fit of all sources is taken.
 CLOSING = 0.5
 NO_SOURCE = "(none)"
+#: Sequences whose runs one task sums for one source.
+STRETCH = 4096
 PACKED = "sequence_id bigint, position int, doc_id bigint, part_no int, source string, n_tokens int"
 
 
@@ -156,17 +158,32 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, shares: dict[str, float
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row: sequences, tokens, the share of the room that is filled, the largest gap that is not in a shard's last sequence."""
+    """One row: sequences, tokens, the share of the room that is filled, the largest gap that is not in a shard's last sequence (null if there is no other)."""
     per = packed.groupBy("sequence_id").agg(F.sum("n_tokens").alias("n"))
-    return per.agg(F.count("*").alias("sequences"), F.sum("n").alias("tokens"), F.max("n").alias("longest"), F.round(F.sum("n") / (F.count("*") * F.lit(capacity)), 5).alias("filled"))
+    shard = F.expr("sequence_id >> 32")
+    per = per.withColumn("last", F.col("sequence_id") == F.max("sequence_id").over(Window.partitionBy(shard)))
+    gap = F.max(F.when(~F.col("last"), F.lit(capacity) - F.col("n")))
+    return per.agg(F.count("*").alias("sequences"), F.sum("n").alias("tokens"), F.max("n").alias("longest"), F.round(F.sum("n") / (F.count("*") * F.lit(capacity)), 5).alias("filled"), gap.alias("gap"))
 
 
 def mixture_report(packed: DataFrame, windows: int = 64) -> DataFrame:
-    """``(source, share, worst)``: each source's token share and the largest deviation from it in any run of ``windows`` sequences."""
-    runs = packed.withColumn("run", F.expr(f"(sequence_id >> 32) * 1000003 + (sequence_id & 4294967295) div {windows}"))
-    per = runs.groupBy("run", "source").agg(F.sum("n_tokens").alias("n"))
-    of_run = per.groupBy("run").agg(F.sum("n").alias("run_n"))
-    share = packed.groupBy("source").agg(F.sum("n_tokens").alias("n"))
+    """``(source, share, worst)``: each source's token share and the largest deviation from it in any run of ``windows`` sequences, shard after shard.
+
+    A source without a token in a run has the share 0 there. Fewer sequences than ``windows`` are one run. Runs are summed
+    in stretches of ``STRETCH`` sequences, each with the ``windows - 1`` before it.
+    """
+    stretch = max(STRETCH, windows)
+    per = packed.groupBy("sequence_id", "source").agg(F.sum("n_tokens").alias("n"))
+    sequences = per.groupBy("sequence_id").agg(F.sum("n").alias("t")).withColumn("shard", F.expr("sequence_id >> 32"))
+    counts = sequences.groupBy("shard").agg(F.count("*").alias("c"))
+    starts = counts.select("shard", F.coalesce(F.sum("c").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"), F.sum("c").over(Window.partitionBy()).alias("all"))
+    numbered = sequences.join(starts, "shard").select("sequence_id", "t", "all", (F.col("start") + F.expr("sequence_id & 4294967295")).alias("g"))
     total = F.sum("n").over(Window.partitionBy())
-    share = share.select("source", (F.col("n") / total).alias("share"))
-    return per.join(of_run, "run").join(share, "source").groupBy("source").agg(F.round(F.max("share"), 5).alias("share"), F.round(F.max(F.abs(F.col("n") / F.col("run_n") - F.col("share"))), 5).alias("worst"))
+    share = per.groupBy("source").agg(F.sum("n").alias("n")).select("source", F.try_divide("n", total).alias("share"))
+    whole = numbered.crossJoin(F.broadcast(share)).join(per, ["sequence_id", "source"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    home = F.expr(f"g div {stretch}")
+    copies = F.when(F.col("g") % stretch > stretch - windows, F.array(home, home + 1)).otherwise(F.array(home))
+    run = Window.partitionBy("at", "source").orderBy("g").rowsBetween(1 - windows, 0)
+    summed = whole.withColumn("at", F.explode(copies)).select("source", "share", "at", "g", "all", F.sum("n").over(run).alias("n"), F.sum("t").over(run).alias("t"))
+    runs = summed.where((F.col("at") == home) & (F.col("g") >= F.least(F.lit(windows), F.col("all")) - 1))
+    return runs.groupBy("source").agg(F.round(F.max("share"), 5).alias("share"), F.round(F.max(F.abs(F.try_divide("n", "t") - F.col("share"))), 5).alias("worst"))

@@ -68,3 +68,18 @@ def test_token_counts(spark, name):
     df = spark.createDataFrame([("hello world",), ("",), (None,), ("ünïcödé 漢字",)], "text string")
     n = [r[0] for r in df.select(token_count(F.col("text"), name)).collect()]
     assert n[0] in (2, 3) and n[1] == n[2] == 0 and n[3] > 2
+
+
+def test_reports_see_starved_sources_any_run_and_gaps(spark, monkeypatch):
+    def packed(*sequences):
+        rows = [(sid, at, 1, 0, s, n) for sid, w in sequences for at, (s, n) in enumerate(w.items())]
+        return spark.createDataFrame(rows, P.PACKED)
+
+    starved = packed(*[(k, {"a": 4, "b": 6}) for k in range(4)], *[(k, {"a": 10}) for k in (4, 5)])
+    assert {r.source: (r.share, r.worst) for r in P.mixture_report(starved, 2).collect()} == {"a": (0.6, 0.4), "b": (0.4, 0.4)}
+    between = packed((0, {"a": 10}), (1, {"b": 10}), (1 << 32, {"b": 10}), ((1 << 32) + 1, {"a": 10}))
+    monkeypatch.setattr(P, "STRETCH", 2)
+    assert {r.source: (r.share, r.worst) for r in P.mixture_report(between, 2).collect()} == {"a": (0.5, 0.5), "b": (0.5, 0.5)}
+    assert {r.source: r.worst for r in P.mixture_report(between, 64).collect()} == {"a": 0.0, "b": 0.0}
+    gaps = packed((0, {"a": 7}), (1, {"a": 10}), (2, {"a": 1}), (1 << 32, {"a": 2}))
+    assert P.fill_report(gaps, 10).first().gap == 3
