@@ -8,7 +8,7 @@ import unicodedata
 from functools import lru_cache
 
 _INLINE = r"(?:a|abbr|b|bdi|cite|code|del|dfn|em|font|i|ins|kbd|mark|nowiki|q|ref|s|samp|small|span|strike|strong|sub|sup|tt|u|var|wbr)"
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+_COMMENT = re.compile(r"<!--.*?-->", re.S)
 _INLINE_TAG = re.compile(rf"</?{_INLINE}(?:\s[^<>]*)?/?>", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _LINK_END = re.compile(r"\]\([^()\s]*(?:\s+\"[^\"]*\")?\)")
@@ -34,7 +34,9 @@ def _invisible() -> re.Pattern:
 def plain(text: str) -> str:
     """``text`` without the markup that stands between or inside words."""
     if "<" in text:
-        text = _COMMENT.sub(" ", text)
+        if "<!--" in text:
+            end = text.rfind("-->") + 3 if "-->" in text else 0  # what opens behind it is never closed: punctuation, and no repeated scans
+            text = _COMMENT.sub(" ", text[:end]) + text[end:]
         text = _TAG.sub(" ", _INLINE_TAG.sub("", text))
     if "&" in text:
         text = html.unescape(text)

@@ -50,3 +50,8 @@ def test_runs_and_edges(spark):
     got = {r.doc_id: (r.shingles, r.of_shingles, r.longest_run, r.first_word) for r in leaked_spans(dd, ii).collect()}
     assert got == {1: (13, 13, 20, 0), 2: (2, 13, 9, 0), 4: (13, 13, 20, 0)}
     assert leaked_spans(dd.limit(0), ii).count() == 0 and leaked_spans(dd, ii.limit(0)).count() == 0
+
+
+def test_text_behind_a_comment_that_never_ends_is_kept():
+    assert words("a <!-- b --> c <!-- d <b>e</b> f") == [b"a", b"c", b"d", b"e", b"f"] and words("--> a <!-- b") == [b"a", b"b"]
+    assert len(words("<!-- x " * 50_000)) == 50_000
