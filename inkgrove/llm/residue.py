@@ -5,12 +5,16 @@ from __future__ import annotations
 import re
 from html.entities import html5
 
-# Element names that make a tag, in natural order.
+# Names of HTML elements and MediaWiki extension tags that make a tag, in natural order.
 ELEMENTS = (
-    "a abbr address article aside b big blockquote body br caption center cite code col colgroup dd del details dfn div dl dt em "
-    "figcaption figure font footer form gallery h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main mark "
-    "math meta nav nowiki ol option p pre q ref references s samp script section select small source span strike strong style sub "
-    "summary sup svg syntaxhighlight table tbody td textarea tfoot th thead time title tr tt u ul var video wbr"
+    "a abbr acronym address applet area article aside audio b base basefont bdi bdo big blockquote body br button canvas caption "
+    "categorytree ce center chem cite code col colgroup data datalist dd del details dfn dialog dir div dl dt em embed fieldset "
+    "figcaption figure font footer form frame frameset gallery graph h1 h2 h3 h4 h5 h6 head header hgroup hiero hr html i iframe "
+    "imagemap img includeonly indicator input inputbox ins kbd label legend li link main map mapframe maplink mark marquee math "
+    "menu meta meter nav nobr noframes noinclude noscript nowiki object ol onlyinclude optgroup option output p pagelist param "
+    "picture poem pre progress q rb ref references rp rt rtc ruby s samp score script search section select slot small source span "
+    "strike strong style sub summary sup svg syntaxhighlight table tbody td template templatestyles textarea tfoot th thead time "
+    "timeline title tr track tt u ul var video wbr xmp"
 )
 HTML, WIKI, LATEX, MARKDOWN = "html", "wiki", "latex", "markdown"
 

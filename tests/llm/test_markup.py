@@ -3,7 +3,7 @@ import pytest
 from inkgrove.llm.blocks import Labeller, leaves
 from inkgrove.llm.blocks_train import targets, train
 from inkgrove.llm.markup import clean, clean_rows, label_blocks, residue_rows, text_columns
-from inkgrove.llm.residue import residue
+from inkgrove.llm.residue import ELEMENTS, residue
 
 CASES = {
     "html": ["a <b>c</b>", "x<br/>y", "<!-- note -->", "a &nbsp; b", "a&#8217;s", "&lt;em&gt;", '<a title="a > b" href=\'#x\'>t</a>', "<H3 ALIGN=center>T</H3>", "<ref>n</ref>"],
@@ -73,3 +73,12 @@ def test_operators(spark):
     b = label_blocks(df).where("row_id = 5").collect()
     assert {r.label for r in b} == {"code"} and all(r.residue == [] for r in b)
     assert residue_rows(df.limit(0)).count() == 0 and clean_rows(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ELEMENTS.split())
+def test_every_element_is_residue(name):
+    assert [k for *_, k in residue(f"some <{name}>text</{name}> here", False)] == ["html"] * 2
+
+
+def test_rare_elements_are_known():
+    assert {"button", "audio", "canvas", "picture", "object", "embed", "param", "noscript", "ruby", "rt", "map", "area", "fieldset", "legend", "bdi", "bdo", "dialog", "includeonly", "poem"} <= set(ELEMENTS.split())
