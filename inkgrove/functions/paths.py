@@ -1,28 +1,11 @@
-"""Spelling-independent paths and hashes.
-
-Everything that can stay in the JVM does; only strings with characters outside ASCII pass through an Arrow UDF,
-because Spark has no Unicode normal forms.
-"""
+"""Spelling-independent paths and hashes, as column expressions that stay in the JVM."""
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-@F.pandas_udf(T.StringType())
-def _composed(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
-
-@F.pandas_udf(T.StringType())
-def _composed_fold(s: pd.Series) -> pd.Series:
-    nfc = unicodedata.normalize
-    return s.map(lambda x: None if x is None else nfc("NFC", nfc("NFC", x).casefold()))
+from inkgrove.functions.text import beyond_ascii, case_folded, composed
 
 
 def _tidy(col: Column) -> Column:
@@ -31,20 +14,16 @@ def _tidy(col: Column) -> Column:
     return F.regexp_replace(bare, r"^(\./)+", "")
 
 
-def _beyond_ascii(col: Column) -> Column:
-    return F.when(col.rlike(r"[^\x00-\x7F]"), col)
-
-
 def display_path(col: Column) -> Column:
     """Forward slashes, no leading ``./``, no surrounding blanks, composed accents, own letter case. Null stays null."""
     tidy = _tidy(col)
-    return F.coalesce(_composed(_beyond_ascii(tidy)), tidy)
+    return F.when(beyond_ascii(tidy), composed(tidy)).otherwise(tidy)
 
 
 def path_key(col: Column) -> Column:
     """``display_path`` without letter case: equal for all spellings of one path. Null stays null."""
     tidy = _tidy(col)
-    return F.coalesce(_composed_fold(_beyond_ascii(tidy)), F.lower(tidy))
+    return F.when(beyond_ascii(tidy), composed(case_folded(composed(tidy)))).otherwise(F.lower(tidy))
 
 
 def hash_key(col: Column) -> Column:

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Function words that carry no meaning in a query, Indonesian then English, in natural order.
 STOPWORDS = (
@@ -18,19 +14,33 @@ STOPWORDS = (
 ).split()
 
 
-@F.pandas_udf(T.StringType())
-def _bare(s: pd.Series) -> pd.Series:
-    def one(x: str | None) -> str | None:
-        if x is None:
-            return None
-        return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", x.lower()) if unicodedata.category(c) != "Mn"))
+def _icu(cls: str, method: str, col: Column, flag: bool) -> Column:
+    """A static text method of the ICU library, which Spark itself brings for its collations."""
+    return F.reflect(F.lit(cls), F.lit(method), col, F.lit(flag))
+
+
+def composed(col: Column) -> Column:
+    """Unicode normal form C. Call it for strings beyond ASCII only, which ``beyond_ascii`` selects."""
+    return _icu("com.ibm.icu.text.Normalizer", "compose", col, False)
+
+
+def decomposed(col: Column) -> Column:
+    """Unicode normal form D; see ``composed``."""
+    return _icu("com.ibm.icu.text.Normalizer", "decompose", col, False)
+
+
+def case_folded(col: Column) -> Column:
+    """Full Unicode case folding; see ``composed``."""
+    return _icu("com.ibm.icu.lang.UCharacter", "foldCase", col, True)
+
 
-    return s.map(one)
+def beyond_ascii(col: Column) -> Column:
+    return col.rlike(r"[^\x00-\x7F]")
 
 
 def fold(col: Column) -> Column:
-    """Lower case without diacritics. Only strings beyond ASCII leave the JVM."""
-    return F.coalesce(_bare(F.when(col.rlike(r"[^\x00-\x7F]"), col)), F.lower(col))
+    """Lower case without diacritics, all in the JVM; ASCII strings, the common case, are only lowered."""
+    return F.when(beyond_ascii(col), composed(F.regexp_replace(decomposed(F.lower(col)), r"\p{Mn}+", ""))).otherwise(F.lower(col))
 
 
 def tokens(folded: Column) -> Column:
