@@ -101,14 +101,17 @@ def _roots(df: DataFrame) -> set[str]:
     return {f for f in _SCRATCH if any(p.startswith(f + "/") for p in found)}
 
 
-def release(df: DataFrame) -> int:
-    """Removes the tables on the way to ``df``, once its rows have been consumed; ``df`` can't be read again."""
+def release(df: DataFrame, deep: bool = False) -> int:
+    """Removes the scratch tables ``df`` reads, once its rows have been consumed; ``df`` can't be read again.
+
+    With ``deep`` also the tables these were computed from, and so on: for the final result of an operator.
+    """
     todo, all_of = list(_roots(df)), set()
     while todo:
         f = todo.pop()
         if f not in all_of:
             all_of.add(f)
-            todo += _SCRATCH.get(f, ())
+            todo += _SCRATCH.get(f, ()) if deep else ()
     return _drop(df.sparkSession, all_of)
 
 

@@ -19,7 +19,7 @@ def test_release_removes_what_a_result_was_computed_from(spark):
     kept = runtime.written(spark.range(3), "kept")
     first = runtime.written(spark.range(10), "first")
     result = runtime.written(first.groupBy((F.col("id") % 2).alias("k")).count(), "second").where("count > 0")
-    assert result.count() == 2 and runtime.release(result) == 2
+    assert result.count() == 2 and runtime.release(result, deep=True) == 2
     names = [n.split("-")[0] for n in os.listdir(root)]
     assert "first" not in names and "second" not in names and kept.count() == 3
     with runtime.scratch_scope(spark):
