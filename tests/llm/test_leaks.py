@@ -55,3 +55,38 @@ def test_runs_and_edges(spark):
 def test_text_behind_a_comment_that_never_ends_is_kept():
     assert words("a <!-- b --> c <!-- d <b>e</b> f") == [b"a", b"c", b"d", b"e", b"f"] and words("--> a <!-- b") == [b"a", b"b"]
     assert len(words("<!-- x " * 50_000)) == 50_000
+
+
+def test_documents_are_read_once_whatever_the_number_of_item_blocks(spark):
+    read = spark.sparkContext.accumulator(0)
+    passages = [" ".join(f"q{i}x{k}" for k in range(12)) for i in range(6)]
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    docs = spark.createDataFrame([(d, f"see {passages[d % 6]} end") for d in range(60)], "doc_id bigint, text string").repartition(4).mapInPandas(counted, "doc_id bigint, text string")
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id bigint, passage string")
+    got = leaked_spans(docs, items, block_chars=len(passages[0]) * 2 + 5)  # three blocks of two
+    assert got.count() == 60 and read.value == 60
+
+
+def test_a_shingle_shared_by_many_items_and_repeated_in_a_text(spark):
+    common = " ".join(f"c{k}" for k in range(8))
+    items = spark.createDataFrame([(i, f"{common} own{i} tail{i}") for i in range(2000)], "item_id bigint, passage string")
+    docs = spark.createDataFrame([(1, f"{common} " * 500), (2, f"x {common} own7 tail7")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.shingles, r.longest_run, r.first_word) for r in leaked_spans(docs, items).collect()}
+    assert len(got) == 4000 and got[1, 7] == (1, 8, 0) and got[2, 7] == (3, 10, 1) and got[2, 8] == (1, 8, 1)
+
+
+def test_rarity_is_counted_over_documents():
+    import numpy as np
+
+    from inkgrove.llm.leaks import Shingles, prefix_keys
+
+    vocabulary = np.arange(10, 20)
+    s = Shingles([(1, vocabulary.copy())], vocabulary, np.array([9, 9, 9, 1, 9, 9, 9, 9, 9, 9]), 8)
+    assert s.rank[3] == 0 and set(prefix_keys(s.grams, s.rank, 8).tolist()) == {3, 2, 1}
+    window, gram = s.match(np.concatenate([vocabulary[:9], [0], vocabulary[2:]]))
+    assert window.tolist() == [0, 1, 10] and s.sum_up(window, gram, window)[1].tolist() == [3]
