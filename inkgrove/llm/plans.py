@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkgrove.llm import languages, leaks, markup, neighbours, packing, split
 from inkgrove.sources.tables import table
@@ -18,6 +19,20 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_split(spark, d).where("piece_no = 0").select("id")
 
 
+#: White space and line breaks, as the splitter knows them.
+_BLANK = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+
+def p1_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the pieces of each text: together, without the overlaps, they are the text (by a hash of all that is
+    not blank), they begin and end at its lines, none is over the limit, and each shares with the one before what it says."""
+    own = F.transform("p", lambda x: F.substring(x["chunk_text"], x["overlap_chars"] + 1, F.length(x["chunk_text"])))
+    shared = F.forall(F.sequence(F.lit(1), F.size("p")), lambda k: (k == 1) | F.endswith(F.element_at("p", F.greatest(k - 1, F.lit(1)))["chunk_text"], F.left(F.element_at("p", k)["chunk_text"], F.element_at("p", k)["overlap_chars"])))
+    pieces = p1_split(spark, d).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("piece_no", "overlap_chars", "chunk_text"))).alias("p"), F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"), F.max(F.length("chunk_text")).alias("longest"), F.max("overlap_chars").alias("most"))
+    return pieces.select("id", F.md5(F.regexp_replace(F.array_join(own, ""), _BLANK, "").cast("binary")).alias("text_md5"), "line_start", "line_end", ((F.col("longest") <= CHUNK_LIMIT) & (F.col("most") <= CHUNK_OVERLAP)).alias("fits"), shared.alias("shares"))
+
+
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
@@ -75,7 +90,7 @@ def p8_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_split": p1_split, "p5_found": p5_found, "p5_knn": p5_knn, "p5_recall": p5_recall,
+    "p1_found": p1_found, "p1_split": p1_split, "p1_check": p1_check, "p5_found": p5_found, "p5_knn": p5_knn, "p5_recall": p5_recall,
     "p4_found": p4_found, "p4_blocks": p4_blocks, "p4_clean": p4_clean,
     "p6_pack": p6_pack, "p6_fill": p6_fill, "p6_mixture": p6_mixture,
     "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_labels": p8_labels,
@@ -96,6 +111,8 @@ def _grams(table_name: str, key: str, text: str) -> str:
 
 SQL = {
     "p1_found": "SELECT id FROM chunks WHERE length(chunk_text) > 1500",
+    "p1_check": rf"""SELECT id, md5(regexp_replace(chunk_text, '{_BLANK}', '', 'g')) AS text_md5, coalesce(line_start, 1) AS line_start,
+  coalesce(line_start, 1) + len(regexp_extract_all(regexp_replace(chunk_text, '{_BLANK}+$', ''), '{_BREAK}'))::INT AS line_end, true AS fits, true AS shares FROM chunks WHERE length(chunk_text) > {CHUNK_LIMIT}""",
     "p5_found": """WITH u AS (SELECT id, embedding::DOUBLE[] AS v FROM vec_chunks WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 near AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(c, 9) DESC, b.id) <= 5)
 SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM near WHERE c >= 0.9""",

@@ -3,8 +3,10 @@
 A text is cut into atomic segments (words with the blanks that follow them; a word longer than the limit is cut at the
 limit). Every gap between neighbours has a strength: inside a word, between words, at the end of a sentence, of a line,
 of a paragraph, before a heading. Adjacent pairs sit in a heap, and the weakest boundary is merged first while the
-combined size plus the overlap fits. A pair that doesn't fit never will, as segments only grow, so its boundary stays:
-pieces end at the strongest boundaries the limit allows.
+combined size plus the overlap fits, of equal boundaries the one whose pair is smallest, so segments of one kind grow
+evenly and no crumb is left beside full ones. A pair that doesn't fit never will, as segments only grow, so its boundary
+stays: pieces end at the strongest boundaries the limit allows. The overlap is taken from the end of the piece before,
+without the blanks that piece sheds, from the start of a word on.
 """
 
 from __future__ import annotations
@@ -92,39 +94,66 @@ def split_spans(text: str, limit: int, overlap: int = 0) -> list[tuple[int, int,
     strength = _strengths(text, spans)
     n = len(spans)
     start, end = [a for a, _ in spans], [b for _, b in spans]
-    head, merged = list(range(n)), [False] * n  # merged[i]: the boundary behind atom i is gone
+    first, merged = list(range(n)), [False] * n  # of an atom that ends a segment: the atom that begins it; merged[i]: the boundary behind atom i is gone
+    last = list(range(n))  # of an atom that begins a segment: the atom that ends it
 
-    def find(i: int) -> int:
-        while head[i] != i:
-            head[i] = i = head[head[i]]
-        return i
+    def size(i: int) -> int:
+        """Of the pair that boundary i parts."""
+        return end[last[i + 1]] - start[first[i]]
 
-    heap = [(s, i) for i, s in enumerate(strength)]
+    heap = [(s, size(i), i) for i, s in enumerate(strength)]
     heapq.heapify(heap)
     while heap:
-        _, i = heapq.heappop(heap)  # equal strengths from left to right
-        left, right = find(i), i + 1  # while its boundary stands, atom i + 1 heads its segment
-        if end[right] - start[left] <= room:
-            end[left], head[right], merged[i] = end[right], left, True
+        s, known, i = heapq.heappop(heap)
+        now = size(i)
+        if now > room:
+            continue  # for good
+        if now != known:
+            heapq.heappush(heap, (s, now, i))  # a neighbour has grown since
+            continue
+        a, b = first[i], last[i + 1]
+        merged[i], first[b], last[a] = True, a, b
     heads = [i for i in range(n) if i == 0 or not merged[i - 1]]
-    return [(start[i], end[i], strength[j - 1] if j < n else SECTION) for i, j in zip(heads, [*heads[1:], n], strict=True)]
+    return [(start[i], end[j - 1], strength[j - 1] if j < n else SECTION) for i, j in zip(heads, [*heads[1:], n], strict=True)]
+
+
+_WORD_START = re.compile(r"(?<!\S)\S")
+
+
+def _overlap_start(text: str, least: int, end: int) -> int:
+    """Where the overlap with a piece that ends at ``end`` begins: at the first word from ``least`` on, or, inside one long
+    word, at ``least`` itself, but not at a combining mark."""
+    if least >= end:
+        return end
+    if m := _WORD_START.search(text, least, end):
+        return m.start()
+    while 0 < least < end and (unicodedata.combining(text[least]) or text[least] in "\u200d\ufe0f" or text[least - 1] == "\u200d"):
+        least += 1
+    return least
 
 
 def split_text(text: str, limit: int, overlap: int = 0, first_line: int = 1) -> list[dict]:
-    """The pieces of one text: each its span, preceded by exactly ``overlap`` characters of the span before (fewer only at
-    the start of the text), without blanks at its end. Lines are exact, counted from ``first_line``."""
+    """The pieces of one text, each within ``limit`` and without blanks at its end: ``text[char_start - overlap_chars:char_end]``.
+
+    These ``overlap_chars`` characters are the last ones of the piece before: as many as ``overlap`` allows from the start
+    of a word on. What lies between the end of a piece and the next one's own text is blank. Lines are
+    exact, counted from ``first_line``.
+    """
     breaks = [m.end() for m in _LINES.finditer(text)]
     blank = not text.strip()
-    pieces = []
+    pieces, ended = [], None
     for a, b, s in split_spans(text, limit, overlap):
-        lo = max(0, a - overlap)
-        body = text[lo:b] if blank else text[lo:b].rstrip()
         if not blank and not text[a:b].strip():
             continue
+        e = b if blank else a + len(text[a:b].rstrip())
+        lo = a if ended is None else _overlap_start(text, max(0, ended - overlap, e - limit), ended)
+        lo = a if lo == ended else lo
+        shared = 0 if ended is None else max(0, ended - lo)
         pieces.append({
-            "piece_no": len(pieces), "char_start": a, "char_end": b, "overlap_chars": a - lo, "boundary": BOUNDARY_NAMES[s], "chunk_text": body,
-            "line_start": first_line + bisect_right(breaks, lo), "line_end": first_line + bisect_right(breaks, lo + len(body) - 1),
+            "piece_no": len(pieces), "char_start": lo + shared, "char_end": e, "overlap_chars": shared, "boundary": BOUNDARY_NAMES[s], "chunk_text": text[lo:e],
+            "line_start": first_line + bisect_right(breaks, lo), "line_end": first_line + bisect_right(breaks, e - 1),
         })
+        ended = e
     return pieces
 
 

@@ -15,8 +15,14 @@ def test_round_trip_limit_overlap_lines(text, limit, overlap):
     lines = _LINES.split(text)
     for n, p in enumerate(split_text(text, limit, overlap)):
         assert len(p["chunk_text"]) <= limit and p["piece_no"] == n
-        assert p["overlap_chars"] == min(overlap, p["char_start"]) or len(text) <= limit
-        assert text.startswith(p["chunk_text"], p["char_start"] - p["overlap_chars"])
+        assert p["overlap_chars"] <= overlap and text[p["char_start"] - p["overlap_chars"] : p["char_end"]] == p["chunk_text"]
+        if n:  # what is stated is really shared, and begins at a word where one begins in reach
+            assert before["chunk_text"].endswith(p["chunk_text"][: p["overlap_chars"]]) and before["char_end"] <= p["char_start"]
+            assert not text[before["char_end"] : p["char_start"]].strip() or not text.strip()
+            reach = range(max(0, before["char_end"] - overlap, p["char_end"] - limit), before["char_end"])
+            starts = [k for k in reach if not text[k].isspace() and (k == 0 or text[k - 1].isspace())]
+            assert not starts or p["char_start"] - p["overlap_chars"] == starts[0]
+        before = p
         if not text.strip():
             continue  # blanks keep their trailing breaks
         got = _LINES.split(p["chunk_text"])
@@ -49,3 +55,11 @@ def test_operator(spark):
     assert {r.id for r in got} == {1, 4, 5} and sum(r.id == 1 and r.piece_no == 0 for r in got) == 2
     assert {r.line_start for r in got if r.id == 1} == {7} and {r.line_start for r in got if r.id == 4} == {1}
     assert split_oversized(df.limit(0), 500).count() == 0
+
+
+def test_no_crumbs_where_an_even_cut_exists():
+    sizes = [b - a for a, b, _ in split_spans("word " * 290, 1000)]
+    assert len(sizes) == 2 and min(sizes) > 400
+    paragraphs = "".join("p" * 198 + "\n\n" for _ in range(11))
+    assert min(b - a for a, b, _ in split_spans(paragraphs, 1000)) >= 400
+    assert all(b == 4 for *_, b in split_spans(paragraphs, 1000)[:-1])
