@@ -8,9 +8,12 @@ ends with the keys of the ``probes`` leaves that a heap would pop first. Candida
 double precision, leaf by leaf.
 
 Work at scale: hyperplanes are fitted on a bounded sample (``SAMPLE``) and broadcast (``trees * leaves * dim`` floats);
-every row is indexed. Exact copies are folded to one vector before the search and unfolded after it. A leaf with more
-than ``LEAF_BLOCK`` members, or more than ``VISIT_BLOCK`` visitors, is cut into blocks, and each visitor meets each
-block, so nothing is capped or dropped.
+every row is indexed. Where the table is too large for the leaves this gives, the task that ranks a leaf grows a further
+tree over its members and goes down that, so candidates stay a few leaves of ``leaf`` members at any size. Exact copies are
+folded to one vector before the search and unfolded after it. Vectors are routed once. Neighbouring leaves of a tree
+travel together as a region, so a query that visits several of them is sent once, and only its best k of the region come
+back. A region with more than ``REGION_BLOCK`` members, or more than ``VISIT_BLOCK`` visitors, is cut into blocks, and
+each visitor meets each block, so nothing is capped or dropped.
 """
 
 from __future__ import annotations
@@ -21,7 +24,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +34,10 @@ SAMPLE = 32_768
 TREES, LEAF, PROBES = 6, 512, 16
 #: Leaves of a tree up to which ``PROBES`` are enough.
 PROBED_LEAVES = 256
-LEAF_BLOCK, VISIT_BLOCK = 4096, 16_384
+#: Members a region of neighbouring leaves aims at, and bounds of what one task ranks at once.
+REGION, REGION_BLOCK, VISIT_BLOCK = 8192, 16_384, 32_768
+#: float32 products closer than this are told apart in double precision.
+ROUNDING = 2e-6
 
 
 @dataclass(frozen=True)
@@ -135,23 +140,63 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("nd,nkd->nk", a, b) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=2))
 
 
-def top_in_block(query_ids: np.ndarray, queries: np.ndarray, member_ids: np.ndarray, members: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k most similar members of each query but itself, by exact cosine, ties to the smaller id."""
-    take = min(k + 3, len(members))
-    out_q, out_n, out_c = [], [], []
-    for a in range(0, len(queries), 1024):
-        ids, q = query_ids[a : a + 1024], queries[a : a + 1024]
+def top_in_block(query_ids: np.ndarray, queries: np.ndarray, member_ids: np.ndarray, members: np.ndarray, k: int, take: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, other id, cosine): the k most similar members of each query but itself, by exact cosine, ties to the smaller id.
+
+    float32 products select the candidates; where more of them lie within rounding of the k-th, more are taken.
+    """
+    take = min(take or k + 4, len(members))
+    out = []
+    step = max(16, min(1024, 2_000_000 // take // 8))
+    for a in range(0, len(queries), step):
+        ids, q = query_ids[a : a + step], queries[a : a + step]
         s = q @ members.T
         s[ids[:, None] == member_ids[None, :]] = -2
-        top = np.argpartition(-s, take - 1, axis=1)[:, :take] if take < len(members) else np.tile(np.arange(len(members)), (len(q), 1))
+        if take < len(members):
+            top = np.argpartition(-s, take - 1, axis=1)[:, :take]
+            best = -np.sort(-np.take_along_axis(s, top, axis=1), axis=1)
+            tied = best[:, k - 1] - best[:, -1] < ROUNDING
+            if tied.any():
+                out.append(top_in_block(ids[tied], q[tied], member_ids, members, k, take * 4))
+                ids, q, s, top = ids[~tied], q[~tied], s[~tied], top[~tied]
+        else:
+            top = np.tile(np.arange(len(members)), (len(q), 1))
         cos = np.where(np.take_along_axis(s, top, axis=1) > -2, _exact(q, members[top]), -2)
         order = np.lexsort((member_ids[top], -cos), axis=1)[:, :k]
         cos, near = np.take_along_axis(cos, order, axis=1), member_ids[np.take_along_axis(top, order, axis=1)]
         real = cos > -2
-        out_q.append(np.repeat(ids, real.sum(axis=1)))
-        out_n.append(near[real])
-        out_c.append(cos[real])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_n, out_c)], ["id", "other", "cosine"])
+        out.append((np.repeat(ids, real.sum(axis=1)), near[real], cos[real]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _first(q: np.ndarray, other: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query its k best, in order; a pair found twice counts once."""
+    order = np.lexsort((other, -cos, q))
+    q, other, cos = q[order], other[order], cos[order]
+    fresh = np.ones(len(q), bool)
+    fresh[1:] = (q[1:] != q[:-1]) | (other[1:] != other[:-1])
+    q, other, cos = q[fresh], other[fresh], cos[fresh]
+    starts = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+    return q[place < k], other[place < k], cos[place < k]
+
+
+def top_in_leaf(query_ids: np.ndarray, queries: np.ndarray, member_ids: np.ndarray, members: np.ndarray, k: int, leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``top_in_block``, but a leaf of more than two times ``leaf`` members is searched by a tree of its own."""
+    if len(members) <= 2 * leaf:
+        return top_in_block(query_ids, queries, member_ids, members, k)
+    depth = math.ceil(math.log2(len(members) / leaf))
+    order = np.argsort(member_ids * np.int64(0x9E3779B97F4A7C1))  # the same tree whatever the order of rows
+    below = grow(members[order[:SAMPLE]], 1, depth, seed=len(members))
+    home = np.concatenate([below.route(members[a : a + 2048], 1)[0][:, 0] for a in range(0, len(members), 2048)])
+    probes = min(1 << depth, math.ceil(2 ** (2 * depth / 3)))  # the law by which probes grow with leaves
+    visits = np.concatenate([below.route(queries[a : a + 2048], probes)[0] for a in range(0, len(queries), 2048)])
+    found = []
+    for node in range(1 << depth):
+        mine, asked = home == node, (visits == node).any(axis=1)
+        if mine.any() and asked.any():
+            found.append(top_in_block(query_ids[asked], queries[asked], member_ids[mine], members[mine], k))
+    return _first(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
 
 
 NEAR = "array<struct<d:double,other:bigint>>"
@@ -180,59 +225,93 @@ def search(vectors: DataFrame, dim: int, k: int, min_cosine: float | None = None
     fitted = _unit(np.frombuffer(b"".join(bytes(r.vec) for r in rows), np.float32).reshape(-1, dim)) if rows else np.zeros((0, dim), np.float32)
     depth = max(0, min(math.ceil(math.log2(max(1, n / leaf))), int(math.log2(max(1, len(fitted) / 16)))))
     probes = probes_of(depth) if probes is None else probes
+    width = min(max(probes, trees), trees << depth)
+    shift = max(0, min(depth, math.floor(math.log2(max(1, REGION * (1 << depth) / n)))))  # neighbouring leaves of a region
+    size, local = (trees << depth) >> shift, (1 << shift) - 1
     forest = spark.sparkContext.broadcast(grow(fitted, trees, depth))
-    size = trees << depth
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = forest.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2048):
+                x = _unit(_matrix(batch.column("vec").slice(a, 2048), dim))
+                node, own = f.route(x, width)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, 2048), _binary(x), _binary(np.where(own, ~node, node).astype(np.int32).view(np.float32))], ["id", "vec", "nodes"])
+
+    routed = written(vectors.mapInArrow(route, "id bigint, vec binary, nodes binary"), "routed")
+
+    def nodes_of(batch: pa.RecordBatch, a: int) -> tuple[np.ndarray, np.ndarray]:
+        """Visited leaves (B, w) and whether each is the vector's own."""
+        coded = np.frombuffer(b"".join(batch.column("nodes").slice(a, 2048).to_pylist()), np.int32).reshape(-1, width)
+        return np.where(coded < 0, ~coded, coded).astype(np.int64), coded < 0
+
+    def by_region(node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order that brings the visits of a row to a region together, and where each such group starts in it."""
+        key = (np.arange(len(node))[:, None] * size + (node >> shift)).ravel()
+        order = np.argsort(key, kind="stable")
+        return order, np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, members, visits = forest.value, np.zeros(size, np.int64), np.zeros(size, np.int64)
+        members, visits = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
-                node, own = f.route(_unit(_matrix(batch.column("vec").slice(a, 2048), dim)), max(probes, trees))
-                visits += np.bincount(node.ravel(), minlength=size)
-                members += np.bincount(node[own], minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(members), pa.array(visits)], ["leaf", "m", "v"])
+                node, own = nodes_of(batch, a)
+                order, starts = by_region(node)
+                visits += np.bincount((node >> shift).ravel()[order[starts]], minlength=size)
+                members += np.bincount((node >> shift)[own], minlength=size)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(members), pa.array(visits)], ["region", "m", "v"])
 
     blocks, salts = np.ones(size, np.int64), np.ones(size, np.int64)
-    for r in vectors.select("vec").mapInArrow(count, "leaf bigint, m bigint, v bigint").groupBy("leaf").agg(F.sum("m").alias("m"), F.sum("v").alias("v")).where(f"m > {LEAF_BLOCK} or v > {VISIT_BLOCK}").collect():
-        blocks[r.leaf], salts[r.leaf] = max(1, -(-r.m // LEAF_BLOCK)), max(1, -(-r.v // VISIT_BLOCK))
+    for r in routed.select("nodes").mapInArrow(count, "region bigint, m bigint, v bigint").groupBy("region").agg(F.sum("m").alias("m"), F.sum("v").alias("v")).where(f"m > {REGION_BLOCK} or v > {VISIT_BLOCK}").collect():
+        blocks[r.region], salts[r.region] = max(1, -(-r.m // REGION_BLOCK)), max(1, -(-r.v // VISIT_BLOCK))
     cuts = spark.sparkContext.broadcast((blocks, salts))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, (nb, ns) = forest.value, cuts.value
+        nb, ns = cuts.value
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 ids = batch.column("id").slice(a, 2048).to_numpy()
-                x = _unit(_matrix(batch.column("vec").slice(a, 2048), dim))
-                node, own = f.route(x, max(probes, trees))
-                row = np.repeat(np.arange(len(x)), node.shape[1])
-                node, own = node.ravel(), own.ravel()
+                vec = batch.column("vec").slice(a, 2048)
+                node, own = nodes_of(batch, a)
+                order, starts = by_region(node)
+                row, g = order[starts] // node.shape[1], (node >> shift).ravel()[order[starts]]
+                inside = (node & local).ravel()[order]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(np.append(starts, len(order)), len(order)).astype(np.int32)), pa.array(inside.astype(np.int32)))  # the last is empty
+                own_leaf = np.maximum.reduceat(np.where(own.ravel()[order], inside, -1), starts)
                 mix = ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-                block, salt = (mix % nb[node].astype(np.uint64)).astype(np.int64), (mix // np.uint64(131) % ns[node].astype(np.uint64)).astype(np.int64)
-                parts = [(row, node, block, salt, own, np.ones(len(row), bool))]  # the row is a query here and, in its own leaf, a member
-                for j in np.flatnonzero(nb[node] > 1):  # a query meets the other blocks of a large leaf
-                    others = np.delete(np.arange(nb[node[j]]), block[j])
-                    parts.append((np.full(len(others), row[j]), np.full(len(others), node[j]), others, np.full(len(others), salt[j]), np.zeros(len(others), bool), np.ones(len(others), bool)))
-                for j in np.flatnonzero(own & (ns[node] > 1)):  # a member stands in every share of a much visited leaf
-                    others = np.delete(np.arange(ns[node[j]]), salt[j])
-                    parts.append((np.full(len(others), row[j]), np.full(len(others), node[j]), np.full(len(others), block[j]), others, np.ones(len(others), bool), np.zeros(len(others), bool)))
-                r, nd, bl, sa, me, qu = (np.concatenate(p) for p in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array((nd << 32) + (bl << 16) + sa), pa.array(ids[r]), pa.array(me), pa.array(qu), _binary(x[r])], ["cell", "id", "member", "query", "vec"])
+                block, salt = (mix % nb[g].astype(np.uint64)).astype(np.int64), (mix // np.uint64(131) % ns[g].astype(np.uint64)).astype(np.int64)
+                every = np.arange(len(row))
+                parts = [(every, block, salt, own_leaf, np.ones(len(row), bool))]  # a query here and, in its own leaf, a member
+                for j in np.flatnonzero(nb[g] > 1):  # a query meets the other blocks of a large region
+                    others = np.delete(np.arange(nb[g[j]]), block[j])
+                    parts.append((np.full(len(others), j), others, np.full(len(others), salt[j]), np.full(len(others), -1), np.ones(len(others), bool)))
+                for j in np.flatnonzero((own_leaf >= 0) & (ns[g] > 1)):  # a member stands in every share of a much visited region
+                    others = np.delete(np.arange(ns[g[j]]), salt[j])
+                    parts.append((np.full(len(others), j), np.full(len(others), block[j]), others, np.full(len(others), own_leaf[j]), np.zeros(len(others), bool)))
+                j, bl, sa, leaf_of, asks = (np.concatenate(p) for p in zip(*parts, strict=True))
+                visited = lists.take(pa.array(np.where(asks, j, len(row))))
+                yield pa.RecordBatch.from_arrays([pa.array((g[j] << 32) + (bl << 16) + sa), pa.array(ids[row[j]]), pa.array(leaf_of.astype(np.int32)), visited, vec.take(pa.array(row[j]))], ["cell", "id", "home", "visited", "vec"])
 
     def rank(table: pa.Table) -> pa.Table:
         ids, x = table.column("id").to_numpy(), _matrix(table.column("vec"), dim)
-        member, query = table.column("member").to_numpy(), table.column("query").to_numpy()
-        if not member.any() or not query.any():
+        home, visited = table.column("home").to_numpy(), table.column("visited").combine_chunks()
+        asked = np.repeat(np.arange(len(ids)), np.diff(visited.offsets.to_numpy()))
+        node = visited.flatten().to_numpy()
+        found = []
+        for n in np.intersect1d(np.unique(node), home):
+            mine, q = np.flatnonzero(home == n), asked[node == n]
+            found.append(top_in_leaf(ids[q], x[q], ids[mine], x[mine], k, leaf))
+        if not found:
             return pa.table({"id": pa.array([], pa.int64()), "near": pa.array([], near_type)})
-        flat = top_in_block(ids[query], x[query], ids[member], x[member], k)
+        q, other, cos = _first(*(np.concatenate(y) for y in zip(*found, strict=True)), k)
         if min_cosine is not None:
-            flat = flat.filter(pc.greater_equal(flat.column("cosine"), min_cosine))
-        q = flat.column("id").to_numpy()
+            q, other, cos = q[cos >= min_cosine], other[cos >= min_cosine], cos[cos >= min_cosine]
         starts = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(q)).astype(np.int32)), pa.StructArray.from_arrays([pc.negate(flat.column("cosine")), flat.column("other")], ["d", "other"]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(q)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(-cos), pa.array(other)], ["d", "other"]))
         return pa.table({"id": pa.array(q[starts]), "near": lists})
 
     near_type = pa.list_(pa.struct([("d", pa.float64()), ("other", pa.int64())]))
-    scored = vectors.mapInArrow(visit, "cell bigint, id bigint, member boolean, query boolean, vec binary").groupBy("cell").applyInArrow(rank, f"id bigint, near {NEAR}")
+    scored = routed.mapInArrow(visit, "cell bigint, id bigint, home int, visited array<int>, vec binary").groupBy("cell").applyInArrow(rank, f"id bigint, near {NEAR}")
     return _nearest(scored, k)
 
 
@@ -280,26 +359,37 @@ def similar_pairs(df: DataFrame, min_cosine: float = 0.9, **options) -> DataFram
 
 
 def brute_force(df: DataFrame, queries: DataFrame, k: int = 5, dim: int = 64, block: int = 2048) -> DataFrame:
-    """``(id, near)`` of a stated query set against all rows, in blocks of queries; for measuring recall."""
+    """``(id, near)`` of a stated query set against all rows, for measuring recall: queries stream through the driver in
+    blocks, each is broadcast, met with all rows and done with before the next."""
     spark = df.sparkSession
-    rows, asked = usable(df, dim), usable(queries, dim).collect()
-    parts = []
-    for a in range(0, len(asked), block):
-        part = spark.sparkContext.broadcast((np.array([r.id for r in asked[a : a + block]]), _unit(np.frombuffer(b"".join(bytes(r.vec) for r in asked[a : a + block]), np.float32).reshape(-1, dim))))
+    rows = usable(df, dim)
+
+    def blocks() -> Iterator[list]:
+        held: list = []
+        for r in usable(queries, dim).toLocalIterator():
+            held.append((r.id, bytes(r.vec)))
+            if len(held) == block:
+                yield held
+                held = []
+        if held:
+            yield held
+
+    out = None
+    for held in blocks():
+        part = spark.sparkContext.broadcast((np.array([i for i, _ in held]), _unit(np.frombuffer(b"".join(v for _, v in held), np.float32).reshape(-1, dim))))
 
         def scan(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
             ids, x = part.value
             for batch in batches:
                 if batch.num_rows:
-                    yield top_in_block(ids, x, batch.column("id").to_numpy(), _unit(_matrix(batch.column("vec"), dim)), k)
-
-        parts.append(rows.mapInArrow(scan, "id bigint, other bigint, cosine double").select("id", F.array(F.struct((-F.col("cosine")).alias("d"), "other")).alias("near")))
-    if not parts:
-        return spark.createDataFrame([], f"id bigint, near {NEAR}")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _nearest(out, k)
+                    found = top_in_block(ids, x, batch.column("id").to_numpy(), _unit(_matrix(batch.column("vec"), dim)), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(y) for y in found], ["id", "other", "cosine"])
+
+        near = rows.mapInArrow(scan, "id bigint, other bigint, cosine double").select("id", F.array(F.struct((-F.col("cosine")).alias("d"), "other")).alias("near"))
+        found = written(_nearest(near, k), "truth")
+        part.unpersist()
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], f"id bigint, near {NEAR}") if out is None else out
 
 
 def recall(df: DataFrame, k: int = 5, every: int = 100, dim: int = 64, **options) -> DataFrame:

@@ -73,7 +73,7 @@ def test_copies_ties_and_unusable(spark):
 
 
 def test_large_leaves_are_cut_and_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(N, "LEAF_BLOCK", 64)
+    monkeypatch.setattr(N, "REGION_BLOCK", 64)
     monkeypatch.setattr(N, "VISIT_BLOCK", 100)
     rng = np.random.default_rng(4)
     x = (rng.normal(size=(1, 8)) + 0.05 * rng.normal(size=(700, 8))).astype(np.float32)
@@ -88,3 +88,23 @@ def test_recall_stays_as_the_leaves_grow_in_number(spark):
     x = (rng.normal(size=(40, 16))[rng.integers(40, size=30_000)] + 0.6 * rng.normal(size=(30_000, 16))).astype(np.float32)
     r = N.recall(frame(spark, x), 5, 100, dim=16, leaf=32).first()  # 1024 leaves a tree
     assert r.queries == 300 and r.recall >= 0.95
+
+
+def test_trees_inside_leaves_take_over_where_the_sample_allows_no_deeper_forest(spark):
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(40, 16))[rng.integers(40, size=30_000)] + 0.6 * rng.normal(size=(30_000, 16))).astype(np.float32)
+    r = N.recall(frame(spark, x), 5, 100, dim=16, leaf=64, sample=256).first()  # 16 leaves a tree from the sample, 32 more inside each
+    assert r.recall >= 0.95
+
+
+def test_vectors_closer_than_rounding(spark):
+    """Many vectors within float32 rounding of each other: the exact order decides, ties go to the smaller id."""
+    rng = np.random.default_rng(9)
+    near = np.ones((60, 8)) + 1e-7 * rng.integers(-3, 4, size=(60, 8))
+    ids, x = np.arange(60), N._unit(near.astype(np.float32))
+    q, other, cos = N.top_in_block(ids, x, ids, x, 3)
+    e = N._exact(x, np.tile(x, (60, 1, 1)))
+    np.fill_diagonal(e, -2)
+    want = np.lexsort((np.tile(ids, (60, 1)), -e), axis=1)[:, :3]
+    got = {i: other[q == i].tolist() for i in ids}
+    assert all(np.allclose(e[i, got[i]], e[i, want[i]], atol=0) for i in ids)
