@@ -1,7 +1,8 @@
 """Block labeller: a bidirectional LSTM in numpy over the leaves of a document.
 
 A leaf is a non-blank line. It is described by its tag path (the containers open above it: fence, formula, HTML
-elements, wiki table, LaTeX environment), a hashed bag of its words, and hashed shapes of the marks in it. The network
+elements and comments, wiki tables and templates, LaTeX environments), a hashed bag of its words, hashed shapes of the
+marks in it and the names of its tags. The network
 reads all leaves of a document in both directions and gives each a label (text, heading, list, code, formula, table,
 frontmatter) and the probability that it holds residue of each kind, so a mark inside code is judged by the fence that
 opened lines before it. Weights are trained by ``blocks_train`` and kept beside this module.
@@ -18,18 +19,20 @@ import numpy as np
 
 LABELS = ("text", "heading", "list", "code", "formula", "table", "frontmatter")
 KINDS = ("html", "wiki", "latex", "markdown")
-PATHS, WORDS, SHAPES = 32, 32, 128
+PATHS, WORDS, SHAPES = 64, 128, 1024
 DIM = PATHS + WORDS + SHAPES
 WEIGHTS = os.path.join(os.path.dirname(__file__), "block_weights.npz")
 
 _MARKS = re.compile(r"[<&'={}\\\[\]!*_~`$#|+\-]")
 _SHAPE = re.compile(
-    r"</?!?[^\s<>]{0,6}|/?>|&#?\w{0,6};?|'{2,}|={2,}|\{\{|\{\||\}\}|\|\}|\\[^\w\s]\{|\\\w{0,3}[^\w\s]?|\[\[|\]\]|\[\w{0,5}:?|\]\(|!\[|\*+\w?|_+\w?|~~+|`+|\$+|(?m:^\s*#+ ?|^\s*[-*+] |^\s*\d+[.)] |^\s*[|:!])"
+    r"</?!?[^\s<>]{0,6}|/?>|&#?\w{0,6};?|\w?'{2,}\S?|={2,}|\{\{|\{\||\}\}|\|\}|\\[^\w\s]\{|\w?\\[a-zA-Z]+\*?[\[{]?|:?\\[^\w\s]?|\[\[|\]\]|\[\w{0,5}:?|\]\(|!\[|\*+\w?|_+\w?|~~+|`+|\$+|(?m:^\s*#+ ?|^\s*[-*+] |^\s*\d+[.)] |^\s*[|:!])"
 )
 _LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 _WORD = re.compile(r"[^\W_]+")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
-_OPEN_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]{0,9})\b[^<>]*?(/?)>")
+_OPEN_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)\b[^<>]*?(/?)>")
+_TAG_NAME = re.compile(r"(\w?)<(/?[A-Za-z][A-Za-z0-9]*)")
+_SPANS = (("<!--", "-->"), ("{{", "}}"))
 _CONTAINERS = frozenset("ul ol li table tr td th div p details summary pre code blockquote dl".split())
 _ENV = re.compile(r"\\(begin|end)\{(\w+)\*?\}")
 _HEAD = re.compile(r" {0,3}(#{1,6})\s")
@@ -55,7 +58,7 @@ def leaves(text: str) -> list[Leaf]:
         start, at = at, at + len(line) + 1
         bare = line.strip()
         if not bare:
-            stack = [s for s in stack if s[0] != "<" or s in ("<table", "<ul", "<ol", "<pre")]
+            stack = [s for s in stack if s[0] != "<" or s in ("<table", "<ul", "<ol", "<pre", "<!--")]
             continue
         path: list[str] = []
         if number == 0 and bare == "---":
@@ -74,13 +77,20 @@ def leaves(text: str) -> list[Leaf]:
         elif bare.startswith("$$"):
             path, math = ["math"], "$$" not in bare[2:]
         else:
-            path = list(stack[-4:])
+            path = list(stack)
             if m := _HEAD.match(line):
                 path.append("h" + str(len(m.group(1))))
             elif _ITEM.match(line):
                 path.append("item")
             elif bare[0] == "|":
                 path.append("row")
+            for opens, closes in _SPANS:
+                if opens in stack:
+                    if closes in line and line.rfind(opens) < line.rfind(closes):
+                        stack.remove(opens)
+                elif opens in line and line.rfind(opens) > line.rfind(closes):
+                    stack.append(opens)
+                    path.append(opens)
             if bare.startswith("{|"):
                 stack.append("{|")
             elif bare.startswith("|}") and "{|" in stack:
@@ -123,25 +133,43 @@ def shapes(line: str) -> set[str]:
     """Marks of a line, letters and digits inside them reduced to one character each."""
     if not _MARKS.search(line):
         return set()
-    return {_DIGITS.sub("0", _LETTERS.sub("a", s)) for s in _SHAPE.findall(line)}
+    found = {_DIGITS.sub("0", _LETTERS.sub("a", s)) for s in _SHAPE.findall(line)}
+    return found | {("a<" if before else "<") + name.lower() for before, name in _TAG_NAME.findall(line)} if "<" in line else found
 
 
-def features(docs: list[list[Leaf]]) -> np.ndarray:
-    """One row per leaf: presence of path entries and shapes, share of words by bucket."""
-    rows, cols, vals = [], [], []
-    n = 0
+def features(docs: list[list[Leaf]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse rows, one per leaf: where each starts, its columns, their values (presence of path entries and shapes, share
+    of words by bucket). No row is empty."""
+    starts, cols, vals = [], [], []
     for doc in docs:
         for leaf in doc:
+            starts.append(len(cols))
             hit = {crc32(p.encode()) % PATHS for p in leaf.path} | {PATHS + WORDS + crc32(s.encode()) % SHAPES for s in shapes(leaf.text)}
             words = [_bucket(w) for w in _WORD.findall(leaf.text)]
-            rows += [n] * (len(hit) + len(words))
             cols += hit
-            cols += words
             vals += [1.0] * len(hit)
+            cols += words
             vals += [1.0 / max(4, len(words))] * len(words)
-            n += 1
-    flat = np.asarray(rows, np.int64) * DIM + np.asarray(cols, np.int64)
-    return np.bincount(flat, weights=np.asarray(vals), minlength=n * DIM).astype(np.float32).reshape(n, DIM)
+            if len(cols) == starts[-1]:
+                cols.append(DIM - 1)
+                vals.append(0.0)
+    return np.asarray(starts, np.int64), np.asarray(cols, np.int64), np.asarray(vals, np.float32)
+
+
+def dense(sparse: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    starts, cols, vals = sparse
+    row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(cols))))
+    return np.bincount(row * DIM + cols, weights=vals, minlength=len(starts) * DIM).astype(np.float32).reshape(len(starts), DIM)
+
+
+def project(sparse: tuple[np.ndarray, np.ndarray, np.ndarray], w: np.ndarray) -> np.ndarray:
+    """``dense(sparse) @ w`` without the zeros, in slices that stay in cache."""
+    starts, cols, vals = sparse
+    out = np.empty((len(starts), w.shape[1]), np.float32)
+    for a in range(0, len(starts), 256):
+        lo, hi = starts[a], starts[a + 256] if a + 256 < len(starts) else len(cols)
+        out[a : a + 256] = np.add.reduceat(w[cols[lo:hi]] * vals[lo:hi, None], starts[a : a + 256] - lo, axis=0)
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -192,11 +220,11 @@ class Labeller:
             group = [docs[k] for k in order[a:e]]
             sizes = np.array([len(d) for d in group])
             valid = np.arange(sizes.max())[None, :] < sizes[:, None]
-            flat = features(group)
+            wide = project(features(group), np.concatenate([self.params["wx_f"], self.params["wx_b"]], axis=1))
             both = []
-            for d in "fb":
+            for d, flat in zip("fb", np.split(wide, 2, axis=1), strict=True):
                 x = np.zeros((*valid.shape, self.params["b_" + d].size), np.float32)
-                x[valid] = flat @ self.params["wx_" + d] + self.params["b_" + d]
+                x[valid] = flat + self.params["b_" + d]
                 both.append(self._direction(x, valid, d)[valid])
             z = np.concatenate(both, axis=1) @ self.params["wo"] + self.params["bo"]
             label = np.exp(z[:, : len(LABELS)] - z[:, : len(LABELS)].max(axis=1, keepdims=True))

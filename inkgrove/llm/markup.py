@@ -1,8 +1,9 @@
 """Markup residue in text columns: which rows hold it, what each block is, and the clean text.
 
-The recurrent block labeller (``blocks``) reads every leaf of a text; leaves it flags are checked by the exact grammar
-(``residue``), so a row is reported only for a construct that is really there. Conversion leaves code and formulas as
-they are, and turns headings, lists and tables of any markup into one plain form (``#``, ``-``, cells between bars).
+The recurrent block labeller (``blocks``) reads every leaf of a text and decides which leaves hold residue; an exact check
+(``residue``) follows, so a row is reported only for a construct that is really there. Conversion follows the labels:
+leaves called code or formula, and leaves without residue, stay as they are to the letter; of the others the marks are cut
+out, and headings, list items and table rows of any markup get one plain form (``#``, ``-``, cells between bars).
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -80,8 +82,7 @@ def _latex(text: str) -> str:
 
 def _tag(m: re.Match) -> str:
     name, closing = (m["el"] or "").lower(), m.group().startswith("</")
-    before = m.string[max(0, m.start() - 80) : m.start()].rstrip(" \t")[-1:]
-    opens = "" if before in ("", "\n") else "\n"
+    opens = "\n" if m.string[m.string.rfind("\n", 0, m.start()) + 1 : m.start()].strip(" \t") else ""
     if len(name) == 2 and name[0] == "h" and name[1].isdigit():
         return ("" if m.string[m.end() : m.end() + 1] in ("", "\n", "\r") else "\n") if closing else f"{opens}{'#' * int(name[1])} "
     if name == "li":
@@ -139,42 +140,96 @@ def _plain(text: str, markdown: bool) -> str:
         text = R.WIKILINK.sub(lambda m: m["alias"] or m["target"], text)
         text = R.MD_LINK.sub(lambda m: m["text"], text)
         text = R.MD_STRIKE.sub(lambda m: m.group()[2:-2], text)
-        for _ in range(3):
-            shorter = R.MD_STRONG.sub(lambda m: m.group()[len(m[1] or m[2]) : -len(m[1] or m[2])], text)
-            if shorter == text:
-                break
+        while (shorter := R.MD_STRONG.sub(lambda m: m.group()[len(m[1] or m[2]) : -len(m[1] or m[2])], text)) != text:
             text = shorter
-    for _ in range(3):  # markup that was escaped, once or more
-        if "&" not in text or (plain := html.unescape(text)) == text:
-            break
+    while "&" in text and (plain := html.unescape(text)) != text:  # markup that was escaped, once or more
         text = re.sub(r"[^\S\n]*\xa0[^\S\n]*", " ", R.TAG.sub("", plain) if R.TAG.search(plain) else plain)
     return text
 
 
-def clean(text: str | None, markdown: bool = False) -> str | None:
+HEADING_AT, LIST_AT, CODE_AT, FORMULA_AT, TABLE_AT = (LABELS.index(x) for x in ("heading", "list", "code", "formula", "table"))
+_ROW_END = re.compile(r"\s*\\\\\s*$")
+_CELL = re.compile(r"\s*(?<!\\)&\s*")
+
+
+@lru_cache(1)
+def _model() -> Labeller:
+    return Labeller.load()
+
+
+def _level(leaf: Leaf) -> int:
+    """Of a heading: from its tag, its equals signs or its LaTeX command."""
+    bare = leaf.text.strip()
+    if m := re.search(r"<h([1-6])\b", bare, re.I):
+        return int(m[1])
+    if m := re.match(r"\\([a-z]+)", bare):
+        return _SECTION_LEVEL.get(m[1], 2)
+    return max(1, len(bare) - len(bare.lstrip("="))) if bare[:1] == "=" else 2
+
+
+def _convert(part: str, unit: list[tuple[Leaf, int]], markdown: bool) -> str:
+    """The leaves of one unit without their marks, in the form their label asks for. Inline code and formulas stay."""
+    quiet = R.quiet_spans(part)
+    pieces, at = [], 0
+    for k, (a, b, _) in enumerate(quiet):
+        pieces += [part[at:a], f"\x00{k}\x00"]
+        at = b
+    body = "".join([*pieces, part[at:]])
+    leaf, label = unit[0]
+    alone = len(unit) == 1
+    in_env = any(p[0] == "\\" for p in leaf.path)
+    if alone and label == TABLE_AT and in_env and "&" in body and not body.lstrip().startswith(("\\begin", "\\end")):
+        body = "| " + _CELL.sub(" | ", _ROW_END.sub("", body).strip()) + " |"
+    body = _plain(body, markdown)
+    if body != part:
+        body = re.sub(r"\n{3,}", "\n\n", re.sub(r"[^\S\n]+\n", "\n", body)).strip("\n")
+    if alone and body.strip() and body != part:
+        if label == HEADING_AT and not body.lstrip().startswith("#"):
+            body = f"{'#' * _level(leaf)} {body.strip()}"
+        elif label == LIST_AT and leaf.text.lstrip().lower().startswith(("<li", "\\item")) and not body.lstrip().startswith("-"):
+            body = f"- {body.strip()}"
+    for k, (a, b, _) in enumerate(quiet):
+        body = body.replace(f"\x00{k}\x00", part[a:b])
+    return body
+
+
+def clean(text: str | None, markdown: bool = False, doc: list[Leaf] | None = None, score: np.ndarray | None = None, model: Labeller | None = None) -> str | None:
     """Clean text: residue turned into plain headings, lists, tables and words; code and formulas unchanged. Null stays null.
 
-    Text without residue comes out as it is. With ``markdown`` inline Markdown goes too; heading and list marks stay, as
-    they are the plain form.
+    Text in which the labeller sees no residue comes out as it is. With ``markdown`` inline Markdown goes too; heading and
+    list marks stay, as they are the plain form. ``doc`` and ``score`` are the text's leaves and their scores where known.
     """
     if not text:
         return text
-    if not any(kind != R.MARKDOWN or markdown for *_, kind in R.residue(text, markdown)):
+    model = model or _model()
+    if doc is None:
+        doc = leaves(text)
+        score = model.scores([doc])[0]
+    if not doc:
         return text
-    quiet = R.quiet_spans(text)
-    table_or_list = bool(re.search(r"<(?:h\d|li|tr|p|div|table|ul|ol|br|details|summary)\b", text, re.I))
-    keep = {f"\x00{k}\x00": text[a:b] for k, (a, b, _) in enumerate(quiet)}
-    parts, at = [], 0
-    for k, (a, b, _) in enumerate(quiet):
-        parts += [text[at:a], f"\x00{k}\x00"]
-        at = b
-    body = _plain("".join([*parts, text[at:]]), markdown)
-    if table_or_list:
-        body = re.sub(r"[^\S\n]+\n", "\n", body)
-        body = re.sub(r"\n{3,}", "\n\n", body).strip("\n") if not quiet else re.sub(r"\n{3,}", "\n\n", body)
-    for mark, original in keep.items():
-        body = body.replace(mark, original)
-    return body
+    label = score[:, : len(LABELS)].argmax(axis=1)
+    inside = np.array([any(p[0] == "\\" for p in leaf.path) for leaf in doc])  # items and rows of LaTeX environments carry no braces
+    touched = (_flags(score, model, markdown) | inside & np.isin(label, (LIST_AT, TABLE_AT))) & ~np.isin(label, (CODE_AT, FORMULA_AT))
+    if not touched.any():
+        return text
+    spans = [(a, b) for a, b, _ in R.residue(text, markdown) if "\n" in text[a:b]]  # constructs that hold leaves together
+    out, at, k = [], 0, 0
+    while k < len(doc):
+        if not touched[k]:
+            k += 1
+            continue
+        e, reach = k + 1, max((b for a, b in spans if a < doc[k].end and b > doc[k].start), default=0)
+        while e < len(doc) and doc[e].start < reach and label[e] not in (CODE_AT, FORMULA_AT):
+            reach = max([reach, *(b for a, b in spans if a < doc[e].end and b > doc[e].start)])
+            e += 1
+        a, b = doc[k].start, doc[e - 1].end
+        part = text[a:b]
+        ended = part.endswith("\r")
+        body = _convert(part.removesuffix("\r"), list(zip(doc[k:e], label[k:e].tolist(), strict=True)), markdown)
+        out += [text[at:a], body + ("\r" if ended and body else "")]
+        at = b + 1 if not body.strip() and text[b : b + 1] == "\n" else b  # a line of nothing but marks goes
+        k = e
+    return "".join([*out, text[at:]])
 
 
 def text_columns(chunks: DataFrame, notes: DataFrame) -> DataFrame:
@@ -253,7 +308,7 @@ def residue_rows(df: DataFrame) -> DataFrame:
 
 
 def clean_rows(df: DataFrame) -> DataFrame:
-    """``(src_table, row_id, clean_text)`` of every row; rows without confirmed residue keep their text, null stays null."""
+    """``(src_table, row_id, clean_text)`` of every row; rows in which the labeller sees no residue keep their text, null stays null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Labeller.load()
@@ -264,7 +319,7 @@ def clean_rows(df: DataFrame) -> DataFrame:
                 out = []
                 for table, text, doc, score in zip(batch["src_table"], batch["text"], docs, model.scores(docs), strict=True):
                     markdown = table == "notes"
-                    out.append(clean(text, markdown) if len(doc) and _flags(score, model, markdown).any() else text)
+                    out.append(clean(text, markdown, doc, score, model))
                 yield pd.DataFrame({"src_table": batch["src_table"].to_numpy(), "row_id": batch["row_id"].to_numpy(), "clean_text": out})
 
     return spread(df).mapInPandas(run, "src_table string, row_id bigint, clean_text string")
