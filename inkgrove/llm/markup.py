@@ -213,7 +213,7 @@ def clean(text: str | None, markdown: bool = False, doc: list[Leaf] | None = Non
     if not touched.any():
         return text
     spans = [(a, b) for a, b, _ in R.residue(text, markdown) if "\n" in text[a:b]]  # constructs that hold leaves together
-    out, at, k = [], 0, 0
+    out, at, k, body = [], 0, 0, "."
     while k < len(doc):
         if not touched[k]:
             k += 1
@@ -229,7 +229,8 @@ def clean(text: str | None, markdown: bool = False, doc: list[Leaf] | None = Non
         out += [text[at:a], body + ("\r" if ended and body else "")]
         at = b + 1 if not body.strip() and text[b : b + 1] == "\n" else b  # a line of nothing but marks goes
         k = e
-    return "".join([*out, text[at:]])
+    whole = "".join([*out, text[at:]])
+    return whole.removesuffix("\n") if at == len(text) and not body.strip() else whole
 
 
 def text_columns(chunks: DataFrame, notes: DataFrame) -> DataFrame:
