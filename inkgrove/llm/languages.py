@@ -1,34 +1,41 @@
 """Language labels for documents and for the parts of mixed documents.
 
 Script ranges narrow the candidates of a word (Cyrillic leaves ru, Latin the seven others, any further script none of
-them), per-word scores come from a word table with a character n-gram fallback, and Viterbi with a switching penalty
-labels the spans of each document. The penalty is lower where a paragraph begins, so spans like to end there.
-
-The table is fitted on a bounded sample of labelled rows (``SAMPLE_DOCS``, the one bound; labels may be wrong: two
-rounds of relabelling block by block clean them). Everything else covers whole texts of all documents.
+them). Per-word scores are the word's log probabilities under a character model of each candidate, and, for text in no known
+language ("und"), under a model of letter pairs of all candidates together (of letters, where a script leaves one): words built of strange
+parts are likelier there. Viterbi with a switching penalty labels the spans of each document. The penalty is
+lower where a paragraph begins, so spans like to end there.
+
+The character models start from a page of running text of each language (``language_texts``), so a table without any
+labels can be labelled, and are then fitted to the table on a bounded sample of rows (``SAMPLE_DOCS``, the one bound,
+chosen by a hash of the id whatever the partitions), block by block as the blocks look so far; labels, which may be wrong
+or missing, have a small vote. Everything else covers whole texts of all documents.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkgrove.llm.language_texts import TEXTS
 from inkgrove.llm.words import fold, plain, split_words
 from inkgrove.runtime import spread
 
 LANGS = ("en", "de", "fr", "es", "pt", "id", "nl", "ru")
 OTHER = len(LANGS)  # the state for words of further scripts, code "und"
 CODES = (*LANGS, "und")
-#: Labelled rows the word table is fitted on, and the longest text among them.
-SAMPLE_DOCS, SAMPLE_CHARS = 4000, 20_000
+#: Rows the character models are fitted on, and the longest text among them.
+SAMPLE_DOCS, SAMPLE_CHARS = 2000, 20_000
 #: Nats it costs to change the language within a paragraph and at the start of one; share of a block's words that makes it whole.
 SWITCH, SWITCH_AT_BLOCK, WHOLE = 8.0, 4.0, 0.8
 #: Words with letters that make a sentence.
@@ -45,18 +52,6 @@ NAMES = {
     "nl": ("nl", "nld", "dut", "dutch", "nederlands", "vlaams", "flemish"),
     "ru": ("ru", "rus", "russian", "русскии", "russisch", "russkii"),
 }
-# Common short words, as pseudo-counts that keep small samples sane.
-SEEDS = {
-    "en": "the of and to in is it that for was on are with they be at have this from or had by but not what all were we when your can there which their if would about them has",
-    "de": "der die das und ist nicht ein eine zu den mit sich auf fur von dem des im wir sie er es wenn aber auch noch nach wird war hat ich dass",
-    "fr": "le la les de des et un une est dans que qui pour pas sur ce il elle nous vous avec au aux du se sont cette mais par on sont etait",
-    "es": "el la los las de que y en un una es por con no para su al lo como mas pero se esta este hay nosotros ellos ha muy del fue",
-    "pt": "o a os as de que e em um uma para com nao se do da no na por mais mas foi ao ele ela isso nos muito voce sao era pelo",
-    "id": "yang dan di ini itu dengan untuk tidak dari dalam akan pada juga saya ke karena ada mereka kami kita bisa sudah satu oleh atau orang lagi belum",
-    "nl": "de het een en van is dat op te in niet met zijn voor er aan om ook maar als bij nog naar wij hij was wordt dit die heeft wel",
-    "ru": "и в не на что он с как это по но из за то все она так его к мы они был было для от о у же если когда",
-}
-
 _NAME_OF = {n: code for code, names in NAMES.items() for n in names}
 _LETTER = re.compile(r"[^\W\d_]")
 _LIST = re.compile(r"\s*(?:[-*+•]|\d{1,3}[.)])\s+")
@@ -142,111 +137,124 @@ def _script(word: str) -> int:
     return -1
 
 
-GRAMS = 1 << 14
+#: Buckets of letter sequences, the longest of them, how much a shorter context weighs, letters a word may be made of.
+GRAMS, ORDER, WEIGHT, LETTERS = 1 << 18, 5, 1.5, 64
+#: Nats a word must be likelier as a word of no known language to count as one, and the most one word may say against a language.
+STRANGE, MOST = 3.0, 7.0
+#: Nats that a label counts when the models are fitted.
+VOTE = 8.0
+_CYRILLIC = LANGS.index("ru")
 
 
-def _grams(word: str) -> list[int]:
+def _sequences(word: str) -> list[tuple[list[int], list[int]]]:
+    """By context length: the buckets of context and letter, and of the context alone, at each letter of the word and its end."""
     padded = f"^{word}$"
-    return [_hash(padded[i : i + n]) for n in (2, 3, 4) for i in range(len(padded) - n + 1)]
-
-
-def _hash(s: str) -> int:
-    h = 2166136261
-    for c in s:
-        h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
-    return (h ^ h >> 15) % GRAMS
+    out = []
+    for n in range(1, ORDER + 1):
+        ends = range(2, len(padded) + 1)
+        grams = [padded[max(0, e - n) : e] for e in ends]
+        out.append(([crc32(g.encode()) % GRAMS for g in grams], [crc32(f"{g[:-1]}\0{len(g)}".encode()) % GRAMS for g in grams]))
+    return out
 
 
 @dataclass
 class Model:
-    """Scores in nats, centred per word; rows of ``table`` belong to ``ids``, words beyond it are scored by n-grams."""
+    """Scores in nats per word; rows of ``table`` belong to ``ids``. ``grams`` and ``contexts`` (GRAMS, languages) count
+    letter sequences and what precedes the last letter of them."""
 
-    ids: dict[bytes, int]
-    table: np.ndarray
     grams: np.ndarray
-    extra: int = 0
-    own: int = field(init=False)
+    contexts: np.ndarray
+    ids: dict[bytes, int] = field(default_factory=dict)
+    table: np.ndarray = field(default_factory=lambda: np.zeros((1024, OTHER + 1), np.float32))
 
-    def __post_init__(self) -> None:
-        self.own = len(self.ids)
+    def __getstate__(self) -> dict:
+        return {"grams": self.grams, "contexts": self.contexts, "ids": {}, "table": np.zeros((1024, OTHER + 1), np.float32)}
 
     def score(self, word: bytes) -> np.ndarray:
         text = word.decode()
-        row = np.full(OTHER + 1, -6.0, np.float32)
+        row = np.full(OTHER + 1, -2 * MOST, np.float32)
         script = _script(text)
-        if script >= 0:
-            row[script] = 2.0
+        if script == OTHER:
+            row[OTHER] = 0.0
             return row
-        row[:] = np.append(np.clip(self.grams[_grams(text)].mean(axis=0) * 0.7, -1.0, 1.0), -3.0)
-        row[LANGS.index("ru")] = -4.0
+        mine = [_CYRILLIC] if script >= 0 else [j for j in range(OTHER) if j != _CYRILLIC]
+        p: np.ndarray | float = 1.0 / LETTERS
+        strange = np.zeros(1)
+        for n, (full, context) in enumerate(_sequences(text[:40]), 1):
+            g, c = self.grams[full][:, mine], self.contexts[context][:, mine]
+            p = (g + WEIGHT * p) / (c + WEIGHT)
+            if n == min(2, len(mine)):  # letter pairs of all candidates together; of one alone, letters
+                together = (g.sum(axis=1) + WEIGHT / LETTERS) / (c.sum(axis=1) + WEIGHT)
+                strange = np.log(together).sum(keepdims=True)
+        known = np.log(p).sum(axis=0)
+        both = np.concatenate([known, strange - STRANGE])
+        row[[*mine, OTHER]] = np.maximum(both - both.max(), -MOST)
         return row
 
     def rows(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of the words' rows; unseen words get a row once. The extra rows are dropped when they grow past a bound."""
+        """Numbers of the words' rows; unseen words are scored once. ``trim`` drops the rows when they grow past a bound."""
         get = self.ids.get
         out = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
         for k in np.flatnonzero(out < 0):
             w = words[k]
             at = get(w)
             if at is None:
-                at = self.own + self.extra
+                at = len(self.ids)
                 if at >= len(self.table):
                     self.table = np.concatenate([self.table, np.zeros((max(1024, len(self.table) // 2), OTHER + 1), np.float32)])
                 self.table[at] = self.score(w)
                 self.ids[w] = at
-                self.extra += 1
             out[k] = at
         return out
 
     def trim(self, most: int = 300_000) -> None:
-        if self.extra > most:
-            self.ids = {w: k for w, k in self.ids.items() if k < self.own}
-            self.table, self.extra = self.table[: self.own].copy(), 0
-
-
-def _table(counts: list[Counter], seeds: float) -> Model:
-    for lang, c in zip(LANGS, counts, strict=True):
-        total = max(200, sum(c.values()))
-        for w in SEEDS[lang].split():
-            c[w.encode()] += max(1, round(seeds * total))
-    vocabulary = sorted({w for c in counts for w in c})
-    ids = {w: k for k, w in enumerate(vocabulary)}
-    freq = np.zeros((len(vocabulary), OTHER))
-    for j, c in enumerate(counts):
-        for w, n in c.items():
-            freq[ids[w], j] = n
-    total = freq.sum(axis=0)
-    rate = (freq + 0.1) / (total + 0.1 * len(vocabulary))
-    log = np.log(rate)
-    log -= log.max(axis=1, keepdims=True)
-    log = np.maximum(log, -5.0)
-    log -= log.mean(axis=1, keepdims=True)
-    grams = np.full((GRAMS, OTHER), 0.5)
-    for w, k in ids.items():
-        if _script(w.decode()) < 0:
-            share = freq[k] / total
-            np.add.at(grams, _grams(w.decode()), share / share.sum())
-    grams = np.log(grams / grams.sum(axis=0))
-    grams -= grams.mean(axis=1, keepdims=True)
-    table = np.concatenate([log, np.full((len(log), 1), -4.0)], axis=1).astype(np.float32)
-    model = Model(ids, table, grams.astype(np.float32))
-    for w, k in ids.items():
-        if _script(w.decode()) >= 0:
-            model.table[k] = model.score(w)
-    return model
+        if len(self.ids) > most:
+            self.ids, self.table = {}, np.zeros((1024, OTHER + 1), np.float32)
 
 
-def fit(sample: list[tuple[str, str]], rounds: int = 2) -> Model:
-    """A word table from (label, text) rows: counted by label, then by the language each block turns out to have."""
-    parts = [(LANGS.index(code), w) for label, text in sample if (code := label_code(label)) for *_, c in blocks(text) if (w := block_words(c))]
-    given = [j for j, _ in parts]
-    for k in range(rounds + 1):
-        counts = [Counter() for _ in LANGS]
-        for j, (_, w) in zip(given, parts, strict=True):
-            counts[j].update(w)
-        model = _table(counts, 0.002 if k else 0.01)
-        if k < rounds:
-            given = [int(np.argmax(model.table[model.rows(w)].sum(axis=0)[:OTHER])) for _, w in parts]
+def _counted(counts: list[Counter]) -> Model:
+    """Character models of words counted by language; a word's weight grows with the logarithm of its count, so a table's own
+    formulas don't drown the rest."""
+    grams, contexts = np.zeros((GRAMS, OTHER), np.float32), np.zeros((GRAMS, OTHER), np.float32)
+    for j, c in enumerate(counts):
+        for w, n in c.items():
+            text = w.decode()
+            if _script(text) == (_CYRILLIC if j == _CYRILLIC else -1):
+                weight = 1 + math.log(n)
+                for full, context in _sequences(text[:40]):
+                    np.add.at(grams[:, j], full, weight)
+                    np.add.at(contexts[:, j], context, weight)
+    return Model(grams, contexts)
+
+
+def _words_of(text: str) -> list[list[bytes]]:
+    return [w for *_, c in blocks(text) if (w := block_words(c))]
+
+
+def fit(sample: list[tuple[str | None, str]], rounds: int = 2) -> Model:
+    """Character models on top of the shipped texts, from (label, text) rows: each block is counted for the language it looks
+    like so far (none, where it looks like no known one), again and again. A label has a vote of ``VOTE`` nats, which a
+    sentence of another language outweighs; rows without one do as well."""
+    start = [Counter(w for ws in _words_of(TEXTS[code]) for w in ws) for code in LANGS]
+    model = _counted(start)
+    if not sample:
+        return model
+    parts = [(label_code(label), w) for label, text in sample for w in _words_of(text)]
+
+    def looks_like(code: str | None, w: list[bytes]) -> int | None:
+        rows = model.rows(w)  # may put in a longer table
+        total = model.table[rows].sum(axis=0)
+        if code:
+            total[LANGS.index(code)] += VOTE
+        best = int(total.argmax())
+        return best if best != OTHER else None
+
+    for _ in range(rounds):
+        counts = [c.copy() for c in start]
+        for code, w in parts:
+            if (j := looks_like(code, w)) is not None:
+                counts[j].update(w)
+        model = _counted(counts)
     return model
 
 
@@ -341,12 +349,13 @@ def _describe(doc: int, label: str | None, model: Model, rows: np.ndarray, block
     return out
 
 
-def sample_labelled(documents: DataFrame, doc_id: str, text: str, lang: str, most: int) -> list[tuple[str, str]]:
-    """About ``most`` labelled rows, chosen by a hash of the id over the whole table."""
+def sample_rows(documents: DataFrame, doc_id: str, text: str, lang: str, most: int) -> list[tuple[str | None, str]]:
+    """The ``most`` rows that come first in order of a hash of their id (and text), over the whole table, with their labels or none."""
     total = documents.count()
-    share = int(min(1.0, 1.1 * most / max(total, 1)) * (1 << 20))
-    rows = documents.where((F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) < share) & F.col(lang).isNotNull() & F.length(text).between(1, SAMPLE_CHARS))
-    return [(r[0], r[1]) for r in rows.select(lang, text).limit(most).collect()]
+    share = int(min(1.0, 1.5 * most / max(total, 1)) * (1 << 20)) + 1
+    near = documents.where((F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) < share) & F.length(text).between(1, SAMPLE_CHARS))
+    rows = near.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).orderBy(F.xxhash64(doc_id), F.xxhash64(text)).limit(most).collect()
+    return [(r[0], r[1]) for r in rows]
 
 
 def label_languages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, model: Model | None = None) -> DataFrame:
@@ -358,7 +367,7 @@ def label_languages(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     spark = documents.sparkSession
     if model is None:
-        model = fit(sample_labelled(documents, doc_id, text, lang, sample_docs))
+        model = fit(sample_rows(documents, doc_id, text, lang, sample_docs) if sample_docs else [])
     shared = spark.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,8 +1,12 @@
+import os
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inkgrove.llm.languages import CODES, OTHER, blocks, fit, label_code, label_languages, mislabelled, viterbi
 
+FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SENTENCES = {
     "en": "The old lantern was hanging near the door and nobody could see why it moved in the evening.",
     "de": "Die alte Laterne hing neben der Tür und niemand konnte sehen, warum sie sich am Abend bewegte.",
@@ -63,3 +67,39 @@ def test_documents(spark, model):
 def test_each_language(spark, model, lang):
     df = spark.createDataFrame([(1, SENTENCES[lang], lang)], "doc_id bigint, text string, lang string")
     assert label_languages(df, model=model).first().lang_code == lang
+
+
+STRANGE = {
+    "uk": "Старий ліхтар висів біля дверей, і ніхто не міг зрозуміти, чому він рухався ввечері.",
+    "fi": "Vanha lyhty riippui oven vieressä eikä kukaan nähnyt miksi se liikkui illalla.",
+    "sv": "Den gamla lyktan hängde bredvid dörren och ingen kunde se varför den rörde sig på kvällen.",
+    "pl": "Stara latarnia wisiała obok drzwi i nikt nie widział, dlaczego poruszała się wieczorem.",
+    "tr": "Eski fener kapının yanında asılıydı ve kimse akşamları neden hareket ettiğini göremiyordu.",
+    "hu": "A régi lámpás az ajtó mellett lógott, és senki sem látta, miért mozgott este.",
+}
+
+
+@pytest.mark.parametrize("lang", sorted(STRANGE))
+def test_text_in_no_known_language(spark, model, lang):
+    df = spark.createDataFrame([(1, STRANGE[lang], "en"), (2, f"{SENTENCES['en']} {SENTENCES['en']}\n\n{STRANGE[lang]}", "en")], "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r for r in label_languages(df, model=model).collect()}
+    assert got[1].lang_code == "und" and got[1].is_case and got[2].lang_code == "en" and [s.lang_code for s in got[2].segments][-1] == "und"
+    assert {tuple(r) for r in mislabelled(df, model=model).collect()} == {(2, "en")}
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_held_out_accuracy_without_labels(spark):
+    """Fitted on half of the documents without any label, tested on the other half, against the labels that name a language
+    (about a tenth of which are wrong) and against the model that also saw the labels."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = [(r.doc_id, r.lang, r.text) for r in docs.select("doc_id", "lang", "text").collect() if r.text]
+    blind = fit([(None, t) for d, _, t in rows if d % 2])
+    held = docs.where("doc_id % 2 = 0")
+    got = {r.doc_id: (r.lang_code, r.label_code) for r in label_languages(held, model=blind).collect() if r.lang_code}
+    labelled = [(a, b) for a, b in got.values() if b]
+    assert np.mean([a == b for a, b in labelled]) > 0.85
+    seeing = fit([(lang, t) for d, lang, t in rows if d % 2])
+    other = {r.doc_id: r.lang_code for r in label_languages(held, model=seeing).collect()}
+    assert np.mean([other[d] == a for d, (a, _) in got.items()]) > 0.995
+    no_labels = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert label_languages(no_labels.repartition(7)).select("doc_id", "lang_code").exceptAll(label_languages(no_labels.coalesce(1)).select("doc_id", "lang_code")).count() == 0
