@@ -1,5 +1,5 @@
-"""Running text of each language, from the opening articles of the Universal Declaration of Human Rights (public text): what
-the character models start from before they see a table."""
+"""Running text of each language, from the opening articles of the Universal Declaration of Human Rights (public text) and a few
+plain sentences: what the character models start from before they see a table."""
 
 TEXTS = {
     "en": """All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood.
@@ -33,5 +33,6 @@ Een ieder heeft, waar hij zich ook bevindt, het recht als persoon erkend te word
     "ru": """Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.
 Каждый человек должен обладать всеми правами и всеми свободами, провозглашенными настоящей Декларацией, без какого бы то ни было различия, как-то в отношении расы, цвета кожи, пола, языка, религии, политических или иных убеждений, национального или социального происхождения, имущественного, сословного или иного положения.
 Каждый человек имеет право на жизнь, на свободу и на личную неприкосновенность. Никто не должен содержаться в рабстве или в подневольном состоянии; рабство и работорговля запрещаются во всех их видах. Никто не должен подвергаться пыткам или жестоким, бесчеловечным или унижающим его достоинство обращению и наказанию.
-Каждый человек, где бы он ни находился, имеет право на признание его правосубъектности. Все люди равны перед законом и имеют право, без всякого различия, на равную защиту закона. Когда мы приехали, там еще никого не было, но он сказал, что уже поздно это делать и что они потом вернутся, если у нее будет время для того, чтобы это увидеть.""",
+Каждый человек, где бы он ни находился, имеет право на признание его правосубъектности. Все люди равны перед законом и имеют право, без всякого различия, на равную защиту закона. Когда мы приехали, там еще никого не было, но он сказал, что уже поздно это делать и что они потом вернутся, если у нее будет время для того, чтобы это увидеть.
+Утром старик открыл окно и посмотрел на улицу: у ворот стояла собака, а над рекой поднимался белый туман. Он надел пальто, взял ключ со стола и вышел из дома, потому что хотел купить хлеб и молоко. Никто не знал, почему вечером в саду горел свет и кто двигал тяжелые ящики возле двери. Дети смеялись, когда ветер качал старые деревья, и долго не могли понять, откуда доносится этот шум. Работа была закончена к обеду, поэтому все отдыхали на берегу.""",
 }
