@@ -1,9 +1,9 @@
 """Filling fixed-capacity token sequences, with the mixture under control: deficit round-robin over source queues.
 
-Every sequence (window) credits each source with its target share of the capacity. The source with the largest credit
-places its longest text that still fits and is debited, until the window is nearly full; then the text that fills the
-rest best is taken, whatever its source, and the debit stays as a deficit for later windows. Credits carry over
-from window to window.
+Every sequence (window) is one round over the sources: each one's deficit grows by its quantum, its target share of the
+capacity, and it serves texts as far as deficit and room allow. Room left over is lent to the sources still owed most, then
+to the text that fits best, and a loan stays as a negative deficit, so the mixture is held within each window as closely as
+whole texts allow, and over several windows by what is carried.
 
 Windows are filled in shards of bounded size (a hash of the document id, so a source with a third of all rows is spread
 evenly). A shard uses up all its texts, so what it leaves as deficit is known before it runs: target share times the
@@ -25,8 +25,6 @@ from inkgrove.runtime import spread, written
 CAPACITY = 2048
 #: Bounds of a shard: what one task holds is some 20 bytes a text.
 SHARD_TOKENS, SHARD_TEXTS = 4_000_000, 500_000
-#: Below this share of free room, the best fit of all sources is taken.
-CLOSING = 0.5
 NO_SOURCE = "(none)"
 #: Sequences whose runs one task sums for one source.
 STRETCH = 4096
@@ -74,32 +72,45 @@ class _Queues:
 
 
 def fill(items: list[tuple[int, int, tuple]], share: np.ndarray, credit: np.ndarray, capacity: int) -> list[list[tuple[int, int, tuple]]]:
-    """Windows of (source, size, item); sizes from 1 to ``capacity``. ``credit`` is changed in place."""
+    """Windows of (source, size, item); sizes from 1 to ``capacity``. ``credit`` is changed in place.
+
+    A window is one round: each source's deficit grows by its quantum, its share of the capacity, and the source serves its
+    longest texts that deficit and room allow; the round begins one source further each time. Room that is left is lent to
+    the sources that are still owed something, the most owed first, then to whichever text fits best; the loan stays as a
+    negative deficit for later windows.
+    """
     queues = _Queues(len(share))
     for s, size, item in items:
         queues.put(s, size, item)
     least = np.array([queues.least(s) for s in range(len(share))], np.int64)
-    closing = int(CLOSING * capacity)
-    windows = []
+    windows, turn = [], 0
     while queues.all:
         active = least <= capacity
         credit += np.where(active, share, 0) * (capacity / max(share[active].sum(), 1e-12))
         room, window = capacity, []
+
+        def serve(s: int, size: int) -> int:
+            window.append((s, size, queues.take(s, size)))  # noqa: B023
+            credit[s] -= size
+            least[s] = queues.least(s)
+            return size
+
+        able = np.flatnonzero(least <= np.minimum(credit, capacity))
+        for s in np.concatenate([able[able >= turn], able[able < turn]]).tolist():
+            while 0 < (size := queues.longest(queues.mask[s], room)) <= credit[s]:
+                room -= serve(s, size)
+        turn = (turn + 1) % len(share)
         while room and queues.all:
-            if room > closing:
-                s = int(np.where(least <= room, credit, -np.inf).argmax())
-                if least[s] > room:
-                    break
+            owed = np.where((least <= room) & (credit > 0), credit, 0)
+            s = int(owed.argmax())
+            if owed[s] > 0:
                 size = queues.longest(queues.mask[s], room)
             else:
                 size = queues.longest(queues.all, room)
                 if size < 1:
                     break
                 s = max(queues.at[size], key=credit.__getitem__)
-            window.append((s, size, queues.take(s, size)))
-            credit[s] -= size
-            room -= size
-            least[s] = queues.least(s)
+            room -= serve(s, size)
         windows.append(window)
     return windows
 
