@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import threading
 import time
 from collections import OrderedDict
 from collections.abc import Callable
@@ -75,20 +76,51 @@ class Page:
 class Engine:
     """One collection of notes and its index. ``embed`` turns texts into vectors, ``rerank`` scores documents for a query; both may fail."""
 
-    def __init__(self, spark: SparkSession, root: str | Path, index: str | Path, config: EngineConfig | None = None, embed: Embedder | None = None, rerank: Reranker | None = None):
+    def __init__(self, spark: SparkSession, root: str | Path, index: str | Path, config: EngineConfig | None = None, embed: Embedder | None = None, rerank: Reranker | None = None, reindex: bool = True):
+        """With ``reindex`` every change of a note is indexed in the background, once an index has been built."""
         self.spark, self.root, self.config = spark, Path(root).resolve(), config or EngineConfig()
         self.index = Index(spark, index, self.config)
         self.embed, self.rerank = embed or bag_embedder(self.config.embedding_dim), rerank
         self.errors: dict[str, str] = {}
         self._cache: OrderedDict[tuple, tuple[float, Outcome]] = OrderedDict()
+        self.reindex, self._worker = reindex, None
 
     # index
 
     def build(self, rebuild: bool = False) -> dict:
-        stats = self.index.build(self.root, self.embed, rebuild)
+        """Passes until nothing is dirty; one that runs in the background is waited for."""
+        self.settle()
+        stats = self.index.build_until_clean(self.root, self.embed, rebuild)
         self._cache.clear()
         return stats
 
+    def settle(self, timeout: float | None = None) -> bool:
+        """Waits for indexing in the background; true if none is left."""
+        if self._worker is not None:
+            self._worker.join(timeout)
+        return self._worker is None or not self._worker.is_alive()
+
+    def _touch(self) -> None:
+        """Notes changed: cached answers go, the flag is raised, and one worker at a time takes it down again."""
+        self._cache.clear()
+        if self.index.manifest() is None:
+            return
+        (self.index.folder / "DIRTY").touch()
+        if self.reindex and (self._worker is None or not self._worker.is_alive()):
+            self._worker = threading.Thread(target=self._index_changes, name="inkgrove-indexer", daemon=True)
+            self._worker.start()
+
+    def _index_changes(self) -> None:
+        flag = self.index.folder / "DIRTY"
+        try:
+            while flag.exists() and not self.index.build_until_clean(self.root, self.embed).get("locked"):
+                pass
+            self._cache.clear()
+            self.errors.pop("indexer", None)
+        except Exception as e:
+            self.errors["indexer"] = f"{type(e).__name__}: {e}"
+            flag.touch()
+
     def _names(self) -> list[str]:
         return list(vault.walk_notes(self.root))
 
@@ -167,7 +199,7 @@ class Engine:
 
     def evaluate(self, golden: list[dict], k: int = 5, modes: tuple[str, ...] = ("keyword", "semantic", "hybrid")) -> DataFrame:
         """One row per mode: hit@k, recall@k, MRR, mean and p95 latency; one chunk a note, no floor."""
-        strict = Engine(self.spark, self.root, self.index.folder, EngineConfig(**{**self.config.__dict__, "per_note": 1, "min_score": None}), self.embed, self.rerank)
+        strict = Engine(self.spark, self.root, self.index.folder, EngineConfig(**{**self.config.__dict__, "per_note": 1, "min_score": None}), self.embed, self.rerank, reindex=False)
         out = None
         wanted = self.spark.createDataFrame([(n, g["expected"]) for n, g in enumerate(golden)], "query_id bigint, expected array<string>")
         for mode in modes:
@@ -249,9 +281,7 @@ class Engine:
         return "; ".join(problems) or f"links fine ({len(targets)})"
 
     def _changed(self, rel: str, text: str) -> str:
-        self._cache.clear()
-        if self.index.folder.is_dir():
-            (self.index.folder / "DIRTY").touch()
+        self._touch()
         return self.link_report(rel, text)
 
     def write(self, note: str, content: str, title: str = "", tags: str = "", overwrite: bool = False, expected_hash: str = "") -> str:
@@ -301,9 +331,7 @@ class Engine:
                     done["notes"] += 1
                 except OSError:
                     done["failed"].append(r.rel_path)
-        self._cache.clear()
-        if self.index.folder.is_dir():
-            (self.index.folder / "DIRTY").touch()
+        self._touch()
         return done
 
     # hygiene

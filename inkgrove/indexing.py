@@ -10,6 +10,7 @@ from __future__ import annotations
 import fcntl
 import json
 import os
+import shutil
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -83,14 +84,14 @@ class Index:
         with single_writer(self.folder) as mine:
             return self._build(Path(root).resolve(), embed or bag_embedder(self.config.embedding_dim), rebuild) if mine else {"locked": True}
 
-    def build_until_clean(self, root: str | Path, embed: Embedder | None = None, passes: int = 10) -> dict:
+    def build_until_clean(self, root: str | Path, embed: Embedder | None = None, rebuild: bool = False, passes: int = 10) -> dict:
         """Repeats while the dirty flag is raised; the flag stays if another process holds the lock."""
         flag, stats = self.folder / "DIRTY", {}
         for _ in range(passes):
             raised = flag.exists()
             if raised:
                 flag.unlink()
-            stats = self.build(root, embed)
+            stats, rebuild = self.build(root, embed, rebuild), False
             if stats.get("locked"):
                 if raised:
                     flag.touch()
@@ -143,9 +144,18 @@ class Index:
         pointer = self.folder / f"CURRENT.{version}"
         pointer.write_text(json.dumps({"schema": SCHEMA_VERSION, "fingerprint": fingerprint, "version": version, "at": time.time()}))
         os.replace(pointer, self.folder / "CURRENT")
+        self._sweep(version, last and last["version"])
         fresh_notes = kinds.get("new", 0) + kinds.get("changed", 0)
         return {"indexed": fresh_notes - skipped, "skipped": skipped, "unchanged": kinds.get("unchanged", 0), "deleted": kinds.get("deleted", 0), "seconds": round(time.time() - began, 2)}
 
+    def _sweep(self, *keep: str | None) -> None:
+        """Removes versions but the published one and the one before, which a running query may still read; also what passes left that died."""
+        for old in self.folder.glob("v-*"):
+            if old.name not in keep:
+                shutil.rmtree(old, ignore_errors=True)
+        for pointer in self.folder.glob("CURRENT.v-*"):
+            pointer.unlink(missing_ok=True)
+
     def _publish(self, out: str, name: str, new: DataFrame, merge: bool, gone: DataFrame | None, on: str, sort: str | None = None) -> None:
         """Writes a table: what was there and isn't touched, and the new rows."""
         rows = snapshots.merge(self.table(name), new, gone, on) if merge else new

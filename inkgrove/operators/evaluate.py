@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrove.functions.paths import path_key
+from inkgrove.runtime import written
 
 
 def _bare(path: Column) -> Column:
@@ -45,12 +46,18 @@ def summary(judgements: DataFrame) -> DataFrame:
 def _ordered(samples: DataFrame, value: str, group: str) -> DataFrame:
     """``(group, v, c, upto, n)``: distinct values with their counts, running counts and the group's size.
 
-    Counting equal values first (map-side) keeps what a group sends to its window to its distinct values.
+    Equal values are counted first (map-side), then laid out in order over all tasks, however few the groups are; the running
+    count is that inside a part plus the sums of the parts before it, of which there are as many as partitions.
     """
     v = F.col(value).cast("double")
     counts = samples.where(v.isNotNull()).groupBy(group, v.alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(group)
-    return counts.select(group, "v", "c", F.sum("c").over(w.orderBy("v")).alias("upto"), F.sum("c").over(w).alias("n"))
+    laid = written(counts.repartitionByRange(group, "v").withColumn("part", F.spark_partition_id()), "ordered")
+    sums = laid.groupBy(F.col(group).alias("of"), F.col("part").alias("at")).agg(F.sum("c").alias("s"))
+    w = Window.partitionBy("of")
+    base = sums.select("of", "at", (F.sum("s").over(w.orderBy("at")) - F.col("s")).alias("before"), F.sum("s").over(w).alias("n"))
+    joined = laid.join(base, F.col(group).eqNullSafe(F.col("of")) & (F.col("part") == F.col("at")))
+    inside = F.sum("c").over(Window.partitionBy(group, "part").orderBy("v"))
+    return joined.select(group, "v", "c", (F.col("before") + inside).alias("upto"), "n")
 
 
 def _at(position: Column) -> Column:

@@ -17,6 +17,7 @@ from inkgrove.config import STATUS_VALUES
 from inkgrove.functions.paths import path_key
 from inkgrove.functions.text import strip
 from inkgrove.operators.filters import is_hub_name, walk_key
+from inkgrove.operators.hot import hot_join
 from inkgrove.runtime import written
 
 
@@ -68,7 +69,8 @@ def resolved_links(links: DataFrame, notes: DataFrame) -> DataFrame:
     """Links with ``src`` (the source's own path in the index) and ``resolved``. Links from unknown sources keep a null ``src``."""
     r = resolve_targets(links, notes)
     src = note_keys(notes).select(F.col("noext").alias("src_key"), F.col("rel_path").alias("src"))
-    return links.withColumn("src_key", target_key(F.col("src_rel"))).join(src, "src_key", "left").drop("src_key").join(r, "target", "left")
+    placed = hot_join(links.withColumn("src_key", target_key(F.col("src_rel"))), src, ["src_key"], "left").drop("src_key")
+    return hot_join(placed, r, ["target"], "left")
 
 
 def backlinks(links: DataFrame, notes: DataFrame) -> DataFrame:

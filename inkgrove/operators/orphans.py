@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgrove.functions.paths import path_key
+from inkgrove.operators.hot import hot_join
 
 #: Key spaces: a whole path, or any tail of it without ``.md``.
 PATH, TAIL = "path", "tail"
-SALTS = 8
+#: Endings of attachments, as documented: a reference with one of them is none to a note.
+ATTACHMENTS = ("png", "pdf", "jpg")
 
 
 def existing_notes(notes: DataFrame) -> DataFrame:
@@ -48,7 +50,7 @@ def _children(df: DataFrame, table: str, field: str, space: str, when: str, only
         F.col("id").alias("row_id"), F.date_format(when, "yyyy-MM").alias("period"),
     )
     if space == TAIL:  # another file ending is a reference to an attachment
-        out = out.where(F.col("key").rlike(r"\.md$") | ~F.col("key").rlike(r"\.[a-z][a-z0-9]{1,4}$")).withColumn("key", _bare(F.col("key")))
+        out = out.where(~F.col("key").rlike(rf"\.({'|'.join(ATTACHMENTS)})$")).withColumn("key", _bare(F.col("key")))
     return out.where(F.col("key") != "")
 
 
@@ -86,12 +88,10 @@ def orphan_report(parents: DataFrame, refs: DataFrame) -> DataFrame:
     )
 
 
-def orphan_rows(parents: DataFrame, refs: DataFrame, salts: int = SALTS) -> DataFrame:
+def orphan_rows(parents: DataFrame, refs: DataFrame, **options) -> DataFrame:
     """``(src_table, src_field, row_id, period)`` of every reference whose group lacks a parent.
 
-    One missing key may hold a third of all rows: references are salted by row and the (few) orphan keys repeated per
-    salt, so no key lands in one task.
+    One missing key may hold a third of all rows: references to such a key are dealt over as many salts as their number asks
+    for, so no key lands in one task (``options`` go to ``hot_join``).
     """
-    keys = _groups(parents, refs).select("space", "key", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = refs.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int"))
-    return salted.join(keys, ["space", "key", "salt"], "left_semi").select("src_table", "src_field", "row_id", "period")
+    return hot_join(refs, _groups(parents, refs).select("space", "key"), ["space", "key"], "left_semi", **options).select("src_table", "src_field", "row_id", "period")

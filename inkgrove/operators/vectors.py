@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrove.operators.keyword import top_per_query
-from inkgrove.runtime import spread
+from inkgrove.runtime import spread, written
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -41,10 +42,10 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, dim: int, id_col: str = "id
     """
     spark = rows.sparkSession
     data = rows.where(usable(F.col(vector), dim)).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    asked = [(r[0], r[1]) for r in queries.where(usable(F.col(vector), dim)).select(F.col("query_id").cast("bigint"), vector).toLocalIterator()]
+    asked = queries.where(usable(F.col(vector), dim)).select(F.col("query_id").cast("bigint"), vector).toLocalIterator()
     out = None
-    for a in range(0, len(asked), block):
-        part = spark.sparkContext.broadcast((np.array([i for i, _ in asked[a : a + block]]), _unit(np.array([v for _, v in asked[a : a + block]], np.float64))))
+    while held := [(r[0], r[1]) for r in islice(asked, block)]:
+        part = spark.sparkContext.broadcast((np.array([i for i, _ in held]), _unit(np.array([v for _, v in held], np.float64))))
 
         def scan(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
             ids, q = part.value
@@ -56,6 +57,10 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, dim: int, id_col: str = "id
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(mine[order].ravel()), pa.array(np.take_along_axis(s, order, axis=1).ravel())], ["query_id", "id", "distance"])
 
         best = top_per_query(data.mapInArrow(scan, "query_id bigint, id bigint, distance double"), k, "distance", ascending=True)
+        if out is None and len(held) < block:  # the only block
+            return best
+        best = written(best, "nearest")
+        part.unpersist()  # the driver holds one block at a time
         out = best if out is None else out.unionByName(best)
     return out if out is not None else spark.createDataFrame([], "query_id bigint, id bigint, distance double, rank int")
 

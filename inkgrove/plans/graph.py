@@ -45,6 +45,13 @@ def broken_links(spark: SparkSession, d: str) -> DataFrame:
     return links.broken_links(*_both(spark, d))
 
 
+def broken_beside_files(spark: SparkSession, d: str) -> DataFrame:
+    """Broken links where files are known: an attachment is broken only if no file has its name. The files here are those that embeds name."""
+    held, notes = _both(spark, d)
+    files = held.where("embed").select(links.file_name(F.col("target")).alias("name_lower")).distinct()
+    return links.broken_links(held, notes, files)
+
+
 def content_map(spark: SparkSession, d: str) -> DataFrame:
     return links.content_map(*_both(spark, d))
 
@@ -80,7 +87,7 @@ def stem_uniqueness(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "resolve_links": resolve_links, "link_kinds": link_kinds, "backlinks": backlinks, "backlink_listing": backlink_listing, "inbound_counts": inbound_counts,
-    "broken_links": broken_links, "content_map": content_map, "orphan_notes": orphan_notes, "hub_notes": hub_notes, "without_hub": without_hub,
+    "broken_links": broken_links, "broken_beside_files": broken_beside_files, "content_map": content_map, "orphan_notes": orphan_notes, "hub_notes": hub_notes, "without_hub": without_hub,
     "bad_status": bad_status, "lint_counts": lint_counts, "lint_listing": lint_listing, "stem_uniqueness": stem_uniqueness,
 }
 
@@ -118,6 +125,7 @@ SQL = {
     "backlink_listing": _BASE + f"SELECT *, row_number() OVER (PARTITION BY rel_path ORDER BY {_WALK.format('src_rel')}, line_no) AS rank FROM back QUALIFY rank <= 50",
     "inbound_counts": _BASE + "SELECT * FROM inb",
     "broken_links": _BASE + "SELECT * FROM broken",
+    "broken_beside_files": _BASE + f"SELECT * FROM broken WHERE NOT {_ATTACH.format('target')} OR lower({_NAME.format('target')}) NOT IN (SELECT lower({_NAME.format('target')}) FROM links WHERE embed AND target IS NOT NULL)",
     "content_map": _BASE + "SELECT * FROM moc",
     "orphan_notes": _BASE + "SELECT * FROM orph",
     "hub_notes": f"WITH {CUR} SELECT rel_path FROM cur WHERE {_HUB.format('rel_path')}",

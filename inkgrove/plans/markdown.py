@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkgrove.config import EngineConfig
 from inkgrove.functions.text import occurrences, split_lines
 from inkgrove.operators import filters, links, notes
 from inkgrove.sources.tables import table
@@ -13,6 +14,9 @@ PAGE = 2000
 IGNORE = ["inbox/", "journal/*/draft-*", "*checklist*"]
 MAX_BYTES = 20_000
 SECTION = "cellar"
+CONFIG = EngineConfig()
+#: White space, for regular expressions of both engines.
+BLANK = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -58,12 +62,15 @@ def junk_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def read_page(spark: SparkSession, d: str) -> DataFrame:
     """The first page of each document: lines while they fit ``PAGE`` characters, each with its break, and what remains."""
-    lines = _docs(spark, d).select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("at", "line"))
-    upto = F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("at"))
-    sized = lines.select("doc_id", (F.length("line") + 1).alias("n"), upto.alias("upto"))
-    return sized.groupBy("doc_id").agg(
-        F.sum(F.when(F.col("upto") <= PAGE, 1).otherwise(0)).cast("bigint").alias("shown"), F.count("*").alias("total_lines"), F.sum(F.when(F.col("upto") > PAGE, F.col("n")).otherwise(0)).cast("bigint").alias("remaining")
-    )
+    sized = _docs(spark, d).select("doc_id", F.transform(split_lines(F.col("text")), lambda x: F.length(x) + 1).alias("sizes")).where(F.size("sizes") > 0)
+    start = F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(0).cast("bigint").alias("shown"), F.lit(0).cast("bigint").alias("remaining"))
+
+    def step(a, n):
+        upto = a["upto"] + n
+        return F.struct(upto.alias("upto"), (a["shown"] + F.when(upto <= PAGE, 1).otherwise(0)).alias("shown"), (a["remaining"] + F.when(upto > PAGE, n).otherwise(0)).alias("remaining"))
+
+    page = sized.select("doc_id", F.size("sizes").cast("bigint").alias("total_lines"), F.aggregate("sizes", start, step).alias("p"))
+    return page.select("doc_id", "p.shown", "total_lines", "p.remaining")
 
 
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -106,11 +113,32 @@ def recent_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def list_documents(spark: SparkSession, d: str) -> DataFrame:
     """The first 200 paths in walking order with their titles."""
-    facts = notes.parse_notes(_docs(spark, d), "key", fallback="rel_path").select("key", "title")
     few = _docs(spark, d).select("key", "rel_path", "doc_id").orderBy(filters.walk_key(F.col("rel_path")), "doc_id").limit(200)
+    asked = _docs(spark, d).join(F.broadcast(few.select("key")), "key", "left_semi")  # 200 keys: only those texts are parsed
+    facts = notes.parse_notes(asked, "key", fallback="rel_path").select("key", "title")
     return few.join(facts, "key").select("doc_id", "rel_path", "title")
 
 
+def chunk_cover(spark: SparkSession, d: str) -> DataFrame:
+    """What the chunks of each document hold together: their text (by a hash of all that is not blank), its first and last line,
+    and whether every chunk keeps the limit. Sections too short to keep are not in it."""
+    c = chunk_documents(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "chunk_text"))).alias("c"), F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"), F.max(F.length("chunk_text")).alias("longest"))
+    text = F.array_join(F.transform("c", lambda x: x["chunk_text"]), "")
+    return c.select("doc_id", F.md5(F.regexp_replace(text, BLANK, "").cast("binary")).alias("text_md5"), "line_start", "line_end", (F.col("longest") <= CONFIG.chunk_limit).alias("fits"))
+
+
+def lint_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The findings that need the text: no frontmatter, too many bytes, a line over the limit."""
+    facts = notes.parse_notes(_docs(spark, d), "key").where("front_lines = 0")
+    docs = _docs(spark, d).select(F.col("key").alias("rel_path"), "text", F.octet_length("text").alias("size"))
+    parts = [
+        facts.select(F.lit("no_frontmatter").alias("kind"), F.col("key").cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("n")),
+        links.oversized(docs, "size", MAX_BYTES).select(F.lit("oversized").alias("kind"), F.col("rel_path").cast("bigint").alias("doc_id"), F.col("bytes").alias("n")),
+        links.junk_lines(docs, "text", 500).select(F.lit("junk_line").alias("kind"), F.col("rel_path").cast("bigint").alias("doc_id"), F.col("chars").alias("n")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def move_rewrite(spark: SparkSession, d: str) -> DataFrame:
     """Links by name to one note, pointed at its new path, code untouched."""
     from inkgrove.operators.rewrite import rewrite_moved
@@ -124,7 +152,7 @@ QUERIES = {
     "headings": headings, "wikilinks": wikilinks, "paragraphs": paragraphs, "note_facts": note_facts, "link_targets": link_targets, "section_extents": section_extents,
     "chunk_documents": chunk_documents, "junk_lines": junk_lines, "read_page": read_page, "content_hash": content_hash, "duplicate_texts": duplicate_texts,
     "occurrence_count": occurrence_count, "skip_rules": skip_rules, "folder_range": folder_range, "folder_prefix": folder_prefix, "hidden_paths": hidden_paths,
-    "recent_documents": recent_documents, "list_documents": list_documents, "move_rewrite": move_rewrite,
+    "recent_documents": recent_documents, "list_documents": list_documents, "move_rewrite": move_rewrite, "chunk_cover": chunk_cover, "lint_documents": lint_documents,
 }
 
 _BRK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
@@ -164,6 +192,14 @@ SELECT m.doc_id, coalesce(t.t, m.rel_path) AS title, CASE WHEN length(coalesce(s
 FROM (SELECT *, list_filter(list_transform(string_split(regexp_extract(tl, '^tags:\s*\[(.*)\]', 1), ','), lambda x: lower(trim(x))), lambda x: x <> '') AS tg FROM meta) m LEFT JOIN title t USING (doc_id) LEFT JOIN summ USING (doc_id)""",
     "junk_lines": _DOC + " SELECT doc_id, max(length(line)) AS chars FROM flat GROUP BY 1 HAVING max(length(line)) > 500",
     "read_page": _DOC + f", s AS (SELECT doc_id, length(line) + 1 AS k, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n) AS upto FROM flat) SELECT doc_id, count(*) FILTER (WHERE upto <= {PAGE}) AS shown, count(*) AS total_lines, coalesce(sum(k) FILTER (WHERE upto > {PAGE}), 0)::BIGINT AS remaining FROM s GROUP BY 1",
+    "chunk_cover": _DOC + rf""",
+sec AS (SELECT o.doc_id, o.n, CASE WHEN length(o.line) > {CONFIG.max_line_chars} THEN '' ELSE o.line END AS line, count(h.n) OVER (PARTITION BY o.doc_id ORDER BY o.n) AS sec FROM outline o LEFT JOIN (SELECT * FROM heads WHERE level <= 4) h USING (doc_id, n) WHERE o.n > o.front),
+par AS (SELECT *, count(*) FILTER (WHERE regexp_full_match(line, '{BLANK}*')) OVER (PARTITION BY doc_id, sec ORDER BY n) AS g FROM sec),
+full_lines AS (SELECT * FROM par WHERE NOT regexp_full_match(line, '{BLANK}*')),
+weights AS (SELECT doc_id, sec, sum(w) AS w FROM (SELECT doc_id, sec, length(regexp_replace(string_agg(line, chr(10) ORDER BY n), '^{BLANK}+|{BLANK}+$', '', 'g')) AS w FROM full_lines GROUP BY doc_id, sec, g) GROUP BY 1, 2),
+kept AS (SELECT doc_id, sec FROM weights QUALIFY w >= {CONFIG.min_chunk_chars} OR max(w) OVER (PARTITION BY doc_id) < {CONFIG.min_chunk_chars})
+SELECT doc_id, md5(string_agg(regexp_replace(line, '{BLANK}', '', 'g'), '' ORDER BY n)) AS text_md5, min(n)::INTEGER AS line_start, max(n)::INTEGER AS line_end, true AS fits FROM full_lines JOIN kept USING (doc_id, sec) GROUP BY doc_id""",
+    "lint_documents": _DOC + f" SELECT 'no_frontmatter' AS kind, doc_id, NULL::BIGINT AS n FROM fronted WHERE front = 0 UNION ALL SELECT 'oversized', doc_id, octet_length(encode(text)) FROM documents WHERE octet_length(encode(text)) > {MAX_BYTES} UNION ALL SELECT 'junk_line', doc_id, max(length(line)) FROM flat GROUP BY doc_id HAVING max(length(line)) > 500",
     "content_hash": "SELECT doc_id, sha256(text) AS hash, left(sha256(text), 16) AS short FROM documents",
     "duplicate_texts": "SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "occurrence_count": "SELECT * FROM (SELECT doc_id, (length(text) - length(replace(text, chr(10) || '- ', ''))) // 3 AS n FROM documents) WHERE n > 0",

@@ -44,7 +44,7 @@ refs AS (
   UNION ALL
   SELECT 'lint_report', 'detail', 'tail', regexp_replace(k, '\.md$', ''), id, strftime(reported_at, '%Y-%m')
   FROM (SELECT *, {_KEY.format("detail")} AS k FROM lint_report WHERE kind = 'broken' AND detail IS NOT NULL)
-  WHERE regexp_matches(k, '\.md$') OR NOT regexp_matches(k, '\.[a-z][a-z0-9]{{1,4}}$')),
+  WHERE NOT regexp_matches(k, '\.(png|pdf|jpg)$')),
 orphan AS (SELECT r.* FROM refs r ANTI JOIN parents p ON r.space = p.space AND r.key = p.key WHERE r.key <> '')
 """
 

@@ -108,8 +108,21 @@ def test_lint(engine):
     assert {r.rel_path.split("/")[0] for r in engine.lint("projects").collect()} == {"projects"}
 
 
+def test_a_change_is_indexed_in_the_background(spark, tmp_path):
+    (tmp_path / "n").mkdir()
+    (tmp_path / "n/README.md").write_text("# Hub\n\nA first note about lanterns and their wicks.\n")
+    e = Engine(spark, tmp_path / "n", tmp_path / "ix")
+    e.write("early", "not yet: there is no index to keep up to date")
+    assert e.settle() and not (tmp_path / "ix/DIRTY").exists()
+    assert e.build()["indexed"] == 2
+    e.write("late", "a note on zeppelins and their moorings, long enough to be a chunk")
+    assert e.settle(120) and not (e.index.folder / "DIRTY").exists() and not e.errors
+    assert e.search("zeppelins", mode="keyword").hits[0].rel_path == "late.md" and e.status()["health"] == "OK"
+    assert len(list((tmp_path / "ix").glob("v-*"))) <= 2
+
+
 def test_changes_and_reindexing(spark, place, tmp_path):
-    e = Engine(spark, place, tmp_path / "ix")
+    e = Engine(spark, place, tmp_path / "ix", reindex=False)
     assert e.build()["indexed"] == 6 and e.build()["unchanged"] == 6
     assert "no wikilinks" in e.write("inbox/new", "fresh pumpkin text that is long enough", tags="a, #b")
     text = (place / "inbox/new.md").read_text()

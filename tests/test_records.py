@@ -42,12 +42,12 @@ def notes(spark):
 
 def test_orphans(spark, notes):
     chunks = spark.createDataFrame([(10, "a/one.md", day(40), "z"), (11, "./b/TWO.md", day(40), "z"), (12, "c/été.md", day(1), "z"), (13, None, day(1), "z"), (14, "late.md", day(1), "z"), (15, "", day(1), "z"), (16, "nowhere.md", None, "z")], CHUNKS)
-    lint = spark.createDataFrame([(20, "broken", "a/one.md", "two", day(1)), (21, "broken", "b/two.md", "wo.md", day(1)), (22, "broken", "b/two.md", "pic.PNG", day(1)), (23, "orphan", "b/two.md", "gone", day(1)), (24, "broken", "b/two.md", None, day(1)), (25, "broken", "b/two.md", "b/two", day(1))], LINT)
+    lint = spark.createDataFrame([(20, "broken", "a/one.md", "two", day(1)), (21, "broken", "b/two.md", "wo.md", day(1)), (22, "broken", "b/two.md", "pic.PNG", day(1)), (23, "orphan", "b/two.md", "gone", day(1)), (24, "broken", "b/two.md", None, day(1)), (25, "broken", "b/two.md", "b/two", day(1)), (26, "broken", "b/two.md", "minutes.notes", day(1))], LINT)
     parents, refs = orphans.parent_keys(notes), orphans.note_references(chunks, lint)
     got = {tuple(r) for r in orphans.orphan_rows(parents, refs).collect()}
-    assert got == {("chunks", "rel_path", 10, "2024-04"), ("chunks", "rel_path", 16, None), ("lint_report", "rel_path", 20, "2024-03"), ("lint_report", "detail", 21, "2024-03")}
+    assert got == {("chunks", "rel_path", 10, "2024-04"), ("chunks", "rel_path", 16, None), ("lint_report", "rel_path", 20, "2024-03"), ("lint_report", "detail", 21, "2024-03"), ("lint_report", "detail", 26, "2024-03")}
     report = {(r.src_table, r.src_field, r.period): (r.n_refs, r.n_keys) for r in orphans.orphan_report(parents, refs).collect()}
-    assert report[("chunks", "rel_path", "2024-04")] == (1, 1) and sum(n for n, _ in report.values()) == 4
+    assert report[("chunks", "rel_path", "2024-04")] == (1, 1) and sum(n for n, _ in report.values()) == 5
 
 
 def test_orphans_of_empty_tables_and_hot_keys(spark, notes):
@@ -55,6 +55,7 @@ def test_orphans_of_empty_tables_and_hot_keys(spark, notes):
     lint = spark.createDataFrame([], LINT)
     refs = orphans.note_references(chunks, lint)
     assert orphans.orphan_rows(orphans.parent_keys(notes), refs).count() == 3002
+    assert orphans.orphan_rows(orphans.parent_keys(notes), refs, rows=500).count() == 3002
     assert orphans.orphan_rows(orphans.parent_keys(notes.limit(0)), refs).count() == 3002
     assert orphans.orphan_rows(orphans.parent_keys(notes), refs.limit(0)).count() == 0
 
