@@ -140,32 +140,45 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("nd,nkd->nk", a, b) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=2))
 
 
-def top_in_block(query_ids: np.ndarray, queries: np.ndarray, member_ids: np.ndarray, members: np.ndarray, k: int, take: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _by_product(ids: np.ndarray, q: np.ndarray, member_ids: np.ndarray, members: np.ndarray, k: int, take: int, rounding: float) -> tuple[np.ndarray, np.ndarray]:
+    """The ``take`` members (B, take) with the largest products in the precision of ``q``, and for which queries more of them
+    than that lie within ``rounding`` of the k-th."""
+    s = q @ members.T
+    s[ids[:, None] == member_ids[None, :]] = -2
+    if take >= len(members):
+        return np.tile(np.arange(len(members)), (len(q), 1)), np.zeros(len(q), bool)
+    top = np.argpartition(-s, take - 1, axis=1)[:, :take]
+    best = -np.sort(-np.take_along_axis(s, top, axis=1), axis=1)
+    return top, best[:, k - 1] - best[:, -1] < rounding
+
+
+def top_in_block(query_ids: np.ndarray, queries: np.ndarray, member_ids: np.ndarray, members: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, other id, cosine): the k most similar members of each query but itself, by exact cosine, ties to the smaller id.
 
-    float32 products select the candidates; where more of them lie within rounding of the k-th, more are taken.
+    float32 products select the candidates; where more of them lie within rounding of the k-th, products in double precision
+    do, and where even those are tied, all members count.
     """
-    take = min(take or k + 4, len(members))
-    out = []
-    step = max(16, min(1024, 2_000_000 // take // 8))
-    for a in range(0, len(queries), step):
-        ids, q = query_ids[a : a + step], queries[a : a + step]
-        s = q @ members.T
-        s[ids[:, None] == member_ids[None, :]] = -2
-        if take < len(members):
-            top = np.argpartition(-s, take - 1, axis=1)[:, :take]
-            best = -np.sort(-np.take_along_axis(s, top, axis=1), axis=1)
-            tied = best[:, k - 1] - best[:, -1] < ROUNDING
-            if tied.any():
-                out.append(top_in_block(ids[tied], q[tied], member_ids, members, k, take * 4))
-                ids, q, s, top = ids[~tied], q[~tied], s[~tied], top[~tied]
-        else:
-            top = np.tile(np.arange(len(members)), (len(q), 1))
-        cos = np.where(np.take_along_axis(s, top, axis=1) > -2, _exact(q, members[top]), -2)
+    out, wide = [], None
+
+    def rank(ids: np.ndarray, q: np.ndarray, top: np.ndarray) -> None:
+        cos = np.where(ids[:, None] == member_ids[top], -2, _exact(q, members[top]))
         order = np.lexsort((member_ids[top], -cos), axis=1)[:, :k]
         cos, near = np.take_along_axis(cos, order, axis=1), member_ids[np.take_along_axis(top, order, axis=1)]
         real = cos > -2
         out.append((np.repeat(ids, real.sum(axis=1)), near[real], cos[real]))
+
+    for a in range(0, len(queries), 1024):
+        ids, q = query_ids[a : a + 1024], queries[a : a + 1024]
+        top, tied = _by_product(ids, q, member_ids, members, k, min(k + 4, len(members)), ROUNDING)
+        rank(ids[~tied], q[~tied], top[~tied])
+        wide = members.astype(np.float64) if wide is None and tied.any() else wide
+        left = np.flatnonzero(tied)
+        for b in range(0, len(left), 256):
+            part = left[b : b + 256]
+            top, still = _by_product(ids[part], q[part].astype(np.float64), member_ids, wide, k, min(4 * k + 16, len(members)), 1e-13)
+            rank(ids[part][~still], q[part][~still], top[~still])
+            for j in part[still]:
+                rank(ids[j : j + 1], q[j : j + 1], np.arange(len(members))[None, :])
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
